@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 12 << 20
 
 #: ASCII white space of the word pattern ``[^\x20\x09-\x0D]+``.
-IS_SPACE = np.zeros(256, dtype=bool)
-IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_IN_WORD = np.ones(256, dtype=np.uint8)
+_IN_WORD[[0x20, *range(0x09, 0x0E)]] = 0
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -44,19 +44,26 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def runs(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the longest runs of bytes of one kind, and the number of runs before each text (one more at the end).
+
+    ``kinds``: by byte, its kind; bytes of kind 0 are in no run. No run crosses from one text to the next.
+    """
+    kind = np.zeros(len(data) + 1, dtype=np.uint8)
+    np.take(kinds, data, out=kind[:-1])
+    change = np.empty(len(data) + 1, dtype=bool)
+    change[0] = True
+    change[1:] = kind[1:] != kind[:-1]
+    change[offsets] = True
+    at = np.flatnonzero(change)
+    inside = np.flatnonzero(kind[at])
+    starts = at[inside]
+    return starts, at[np.minimum(inside + 1, len(at) - 1)], np.searchsorted(starts, offsets)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in ``data``, and the number of words before each text (one more at the end)."""
-    inside = np.empty(len(data) + 1, dtype=bool)
-    np.take(~IS_SPACE, data, out=inside[:-1])
-    inside[-1] = False
-    edge = np.zeros(len(data) + 1, dtype=bool)
-    edge[offsets] = True  # a word never crosses from one text to the next
-    before = np.empty_like(inside)
-    before[0] = False
-    before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | edge))
-    ends = np.flatnonzero(before & (~inside | edge))
-    return starts, ends, np.searchsorted(starts, offsets)
+    """The runs of bytes other than ASCII white space."""
+    return runs(data, offsets, _IN_WORD)
 
 
 def pieces(data: np.ndarray, cuts: np.ndarray) -> pa.DictionaryArray:
