@@ -1,4 +1,72 @@
-STAGES = []
+"""A corpus pipeline of five stages over ``documents``, each a training-data operator applied to all that the last one kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet into the shared
+folder and reads it back as the next stage's docs. All but the last return the columns of documents. Rows that the
+filtering stages keep are unchanged, in no particular order.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from fernstore.llm import jaccard_join, mixing, piece_coding, quality, toxicity
+from fernstore.llm.shared import table, written
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model doesn't predict toxic."""
+    scored = toxicity.with_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling towards labelled good ones keeps."""
+    return quality.resampled(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-copy component, that with the smallest id, and every document without words.
+
+    Rows with equal ids count as one document. Rows without an id name no component and all stay.
+    """
+    found = jaccard_join.jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
+    left = docs.join(found, docs.doc_id == F.col("_copy"), "left_anti").select(*docs.columns)
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_twice"))
+    rows = left.join(repeated, left.doc_id == F.col("_twice"), "left")
+    again = rows.where("_twice is not null").select(*docs.columns, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")).alias("_n")).where("_n = 1").select(*docs.columns)
+    return rows.where("_twice is null").select(*docs.columns).unionByName(again)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix to the weights 5, 2, 1 takes them."""
+    return mixing.mixed(docs)
+
+
+def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, its piece ids under merge-dropout, their number, and whether they decode to the text."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_coding.coded_and_checked(docs, model)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("quality classifier", of_quality),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("mixing sources to target weights", mixed_sources),
+    ("SentencePiece encoding and decoding", as_pieces),
+]
+
+#: The first stages' models can't be expressed in SQL; tests hold the stages against brute force instead.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"pipeline_{k}")
+    return docs

@@ -109,10 +109,10 @@ def mix_counts(docs: DataFrame, key: str = "doc_id", source: str = "source", tex
 def mixed(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as its document is taken, with the columns of ``docs``.
 
-    ``key`` must be unique and not null: rows find their copies by it.
+    Rows find their copies by ``key``; rows that share one (or have none) are all taken as often as the most of them.
     """
-    counts = mix_counts(docs, key, **options).where("copies > 0").select(F.col(key).alias("_mix_key"), F.col("copies").alias("_mix_copies"))
-    repeated = docs.join(counts, docs[key] == F.col("_mix_key")).withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))))
+    counts = mix_counts(docs, key, **options).where("copies > 0").groupBy(F.col(key).alias("_mix_key")).agg(F.max("copies").cast("int").alias("_mix_copies"))
+    repeated = docs.join(counts, docs[key].eqNullSafe(F.col("_mix_key"))).withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
     return repeated.select(*(docs[c] for c in docs.columns))
 
 

@@ -313,6 +313,30 @@ def decode_pieces(coded: DataFrame, model: str, ids: str = "ids", text: str = "t
     return coded.select(*(coded[c] for c in kept)).mapInArrow(run, T.StructType([*(coded.schema[c] for c in kept), T.StructField(text, T.StringType())]))
 
 
+def _same_texts(model: PieceModel, ids: np.ndarray, ends: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Which texts of a column their ids decode to."""
+    data, offsets = utf8(column)
+    back, at = model.decode(ids, ends)
+    same = np.diff(at) == np.diff(offsets)
+    if same.all():
+        same[np.searchsorted(offsets, np.flatnonzero(data != back), side="right") - 1] = False
+        return same
+    raw, other = data.tobytes(), back.tobytes()
+    return np.array([raw[a:b] == other[c:d] for a, b, c, d in zip(offsets[:-1], offsets[1:], at[:-1], at[1:], strict=True)])
+
+
+def coded_and_checked(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
+    """Per document: key, ids, n_tokens, and lossless (whether the ids decode to the text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, text, 8 << 20):
+            ids, ends = encode_block(_keys(block.column(0)), block.column(1), model, dropout, seed)
+            made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([block.column(0), made, pa.array(np.diff(ends)), pa.array(_same_texts(_model(model), ids, ends, block.column(1)))], [key, "ids", "n_tokens", "lossless"])
+
+    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>, n_tokens long, lossless boolean")
+
+
 _FACTS = "n_tokens long, n_plain long, ids_crc32 long, lossless boolean"
 
 
@@ -324,15 +348,7 @@ def piece_facts(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int
             keys = _keys(block.column(0))
             ids, ends = encode_block(keys, block.column(1), model, dropout, seed)
             plain = np.diff(encode_block(keys, block.column(1), model, 0.0, seed)[1])
-            data, offsets = utf8(block.column(1))
-            back, at = _model(model).decode(ids, ends)
-            same = np.diff(at) == np.diff(offsets)
-            if same.all():
-                wrong = np.flatnonzero(data != back)
-                same[np.searchsorted(offsets, wrong, side="right") - 1] = False
-            else:
-                raw, other = data.tobytes(), back.tobytes()
-                same = np.array([raw[a:b] == other[c:d] for a, b, c, d in zip(offsets[:-1], offsets[1:], at[:-1], at[1:], strict=True)])
+            same = _same_texts(_model(model), ids, ends, block.column(1))
             view = memoryview(ids.astype("<u4")).cast("B")
             sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(np.diff(ends)), pa.array(plain), pa.array(sums, pa.int64()), pa.array(same)], ["doc_id", *(f.split()[0] for f in _FACTS.split(", "))])
