@@ -37,6 +37,7 @@ from fernstore.llm.signature_tree import links
 from fernstore.llm.textblocks import blocks, mix, shingle_hashes, utf8, word_hashes, words
 
 SHINGLE = 5
+BLOCK_BYTES = 4 << 20  # of text at a time; its hashes and blobs take some 60 times as much
 PERCENT = 75
 #: Shingle hashes of one range of step 2, and shingles of one block of a large component in step 4.
 RANGE_TOKENS = 1 << 21
@@ -140,7 +141,7 @@ def document_facts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
-        for block in blocks(batches):
+        for block in blocks(batches, "text", BLOCK_BYTES):
             rows = list(_block_rows(block.column(0), shingle_sets(block.column(1)), chunk, bits, ranges))
             chunk += 1
             kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -166,7 +167,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
         ids = F.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, "text", BLOCK_BYTES):
             sets = shingle_sets(block.column(0))
             d1, d2 = digests(sets)
             yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["e1", "e2", "hashes"])
