@@ -36,7 +36,9 @@ TARGET_DOCS = 20_000
 TEMPERATURE = 0.1
 #: Documents whose log-weight is below this are left out when k is derived.
 REJECTED = -5.0
-SMOOTHING = 1.0
+#: Pseudo-counts of the target's model per bucket on average, spread like the raw model: they keep a small target
+#: from rejecting what it merely hasn't shown.
+SMOOTHING = 300.0
 SEED = 23
 
 _KINDS = np.full(256, 2, dtype=np.uint8)
@@ -100,8 +102,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     counts = bucket_counts(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(good), F.col("_key") == F.col("_id"), "left"), "_text", "_good")
     if not counts[1].any():
         return np.zeros(BUCKETS)
-    raw = (counts[0] + SMOOTHING) / (counts[0] + SMOOTHING).sum()
-    # the raw model is also the target's prior: a bucket the target never shows is not impossible
+    raw = (counts[0] + 1) / (counts[0] + 1).sum()
     target = (counts[1] + SMOOTHING * BUCKETS * raw) / (counts[1].sum() + SMOOTHING * BUCKETS)
     return np.log(target) - np.log(raw)
 
