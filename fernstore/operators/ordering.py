@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def nulls_last(field: str, direction: str = "asc") -> Column:
@@ -18,6 +19,22 @@ def nulls_least(field: str, direction: str = "asc") -> Column:
     return c.asc_nulls_first() if direction == "asc" else c.desc_nulls_last()
 
 
+def sort_columns(df: DataFrame, field: str, direction: str = "asc", nulls_are_last: bool = True) -> list[Column]:
+    """What to sort by for a field. Mixed types order as numbers, then texts, then booleans, and by value within each."""
+    place = nulls_last if nulls_are_last else nulls_least
+    if not isinstance(df.schema[field].dataType, T.VariantType):
+        return [place(field, direction)]
+    c = F.col(f"`{field}`")
+    kind = F.schema_of_variant(c)
+    number = F.when(F.rlike(kind, F.lit(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")), F.try_variant_get(c, "$", "double"))
+    text = F.when(kind == "STRING", F.try_variant_get(c, "$", "string"))
+    rank = F.when(number.isNotNull(), 1).when(text.isNotNull(), 2).when(kind == "BOOLEAN", 3).when(c.isNotNull() & (kind != "VOID"), 4)
+    down = direction == "desc"
+    first = (rank.desc_nulls_last() if down else rank.asc_nulls_last()) if nulls_are_last else (rank.desc_nulls_last() if down else rank.asc_nulls_first())
+    flag = F.try_variant_get(c, "$", "boolean")
+    return [first, *(x.desc() if down else x.asc() for x in (number, text, flag))]
+
+
 def check_direction(direction: str) -> str:
     if direction not in ("asc", "desc"):
         raise TypeError(f"direction must be 'asc' or 'desc', not {direction!r}")
@@ -26,7 +43,7 @@ def check_direction(direction: str) -> str:
 
 def sort_by(df: DataFrame, field: str, direction: str = "asc", key: str = "key", limit: int = 0) -> DataFrame:
     """Sorted by one field, then limited; 0 is no limit."""
-    out = df.orderBy(nulls_last(field, check_direction(direction)), F.col(key).asc())
+    out = df.orderBy(*sort_columns(df, field, check_direction(direction)), F.col(key).asc())
     return out.limit(limit) if limit else out
 
 

@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernstore.operators.ordering import nulls_least
+from fernstore.operators.ordering import sort_columns
 
 
 @dataclass(frozen=True)
@@ -74,7 +74,8 @@ def page_rows(df: DataFrame, orders: tuple[Order, ...], limit: int, start: tuple
         df = df.where(bound(orders, start[0], True, start[1]))
     if end:
         df = df.where(bound(orders, end[0], False, end[1]))
-    return df.orderBy(*(nulls_least(o.field, o.direction) for o in orders), F.col(key).asc()).limit(limit)
+    by = [c for o in orders for c in sort_columns(df, o.field, o.direction, False)]
+    return df.orderBy(*by, F.col(key).asc()).limit(limit)
 
 
 def page(df: DataFrame, orders: tuple[Order, ...], limit: int, start=None, end=None, key: str = "key") -> Page:

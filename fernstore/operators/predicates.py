@@ -1,7 +1,8 @@
 """Filters: conjunctions of (field, operator, value).
 
 Null and missing fields never match (but for ``is_null``); numbers compare by value whatever their types; text
-compares bytewise. Comparisons with literals and prefixes reach the Parquet scan as pushed filters.
+compares bytewise. Comparisons with literals and prefixes reach the Parquet scan as pushed filters. A field of mixed
+types, a variant, is compared where it has the type of the value.
 """
 
 from __future__ import annotations
@@ -9,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 COMPARE = {
     "==": lambda c, v: c == v,
@@ -75,7 +77,37 @@ def all_of(conditions: Iterable[Condition], fields: dict[str, Column] | None = N
     return reduce(and_, columns) if columns else None
 
 
+#: Kinds of variants by the Python type of a value: a pattern of their names, and what they are read as.
+_NUMBER = (r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "double")
+_KIND_OF = {bool: ("^BOOLEAN$", "boolean"), int: _NUMBER, float: _NUMBER, str: ("^STRING$", "string")}
+
+
+def variant_as(c: Column, value: Any) -> Column:
+    """A variant as the type of ``value``; null where it has another."""
+    pattern, kind = _KIND_OF.get(type(value), ("^$", "string"))
+    return F.when(F.rlike(F.schema_of_variant(c), F.lit(pattern)), F.try_variant_get(c, "$", kind))
+
+
+def _is_any(c: Column, values: Iterable[Any]) -> Column:
+    return reduce(or_, (F.coalesce(variant_as(c, v) == F.lit(v), F.lit(False)) for v in values))
+
+
+def _variant_condition(c: Column, condition: Condition) -> Column:
+    v = condition.value
+    if condition.op.startswith("array"):
+        items = F.when(F.startswith(F.schema_of_variant(c), F.lit("ARRAY")), F.try_variant_get(c, "$", "array<variant>"))
+        wanted = v if condition.op == "array-contains-any" else [v]
+        return F.coalesce(F.exists(items, lambda x: _is_any(x, wanted)), F.lit(False))
+    if condition.op in ("in", "not-in"):
+        found = _is_any(c, v)
+        return found if condition.op == "in" else ~found & c.isNotNull()
+    if condition.op == "is-null":
+        return c.isNull() | F.is_variant_null(c)
+    return OPERATORS[condition.op](variant_as(c, v), v)
+
+
 def where_all(df: DataFrame, conditions: Iterable[Condition]) -> DataFrame:
     """The rows that meet all conditions, in whatever order they are given. An unknown field is an analysis error."""
-    found = all_of(conditions)
-    return df if found is None else df.where(found)
+    mixed = {f.name for f in df.schema if isinstance(f.dataType, T.VariantType)}
+    found = [_variant_condition(F.col(f"`{c.field}`"), c) if c.field in mixed else c.column() for c in conditions]
+    return df.where(reduce(and_, found)) if found else df

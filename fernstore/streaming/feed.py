@@ -56,6 +56,16 @@ class ChangeFeed:
         return stream if self.store is None else stream.where(F.col("store_path") == F.lit(self.store))
 
 
+def ingest_stream(db: Database, store: str, stream: DataFrame, id_column: str, checkpoint: str, trigger: dict[str, Any] | None = None) -> StreamingQuery:
+    """Write a streaming DataFrame into a store, one commit per micro-batch; of rows with equal ids in a batch one stays."""
+
+    def batch(rows: DataFrame, _: int) -> None:
+        if not rows.isEmpty():
+            db.write_frame(store, rows.dropDuplicates([id_column]), id_column)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def on_snapshot(db: Database, key: str, callback: Callable[[dict[str, Any] | None], None], checkpoint: str, trigger: dict[str, Any] | None = None) -> Callable[[], None]:
     """Call back with a document after each of its changes (None once it is removed); returns what ends the listening."""
     key = paths.check_document(key)
