@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fernstore.functions.schema import json_field
 
-__all__ = ["as_array", "checksum", "decrypted", "encrypted", "fits_bloom", "incremented", "json_array_contains", "json_field", "merged", "sanitized", "to_boolean", "to_number", "to_timestamp"]
+__all__ = ["as_array", "checksum", "decrypted", "encrypted", "incremented", "json_array_contains", "json_field", "merged", "sanitized", "to_boolean", "to_number", "to_timestamp"]
 
 
 def merged(base: Column, patch: Column) -> Column:
@@ -36,11 +36,6 @@ def checksum(value: Column) -> Column:
     return F.crc32(value)
 
 
-def fits_bloom(value: Column, bits: int = 64) -> Column:
-    """A hash place of a value, of the kind that runtime Bloom filters use."""
-    return F.pmod(F.xxhash64(value), F.lit(bits))
-
-
 def encrypted(value: Column, key: Column, aad: Column) -> Column:
     """AES-GCM with additional authenticated data."""
     return F.aes_encrypt(value, key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(""), aad)

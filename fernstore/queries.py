@@ -686,11 +686,11 @@ def schema_validation(t):
 
 @query("select doc_id, case when text is null then 0 else 1 end as has_text, octet_length(encode(text))::bigint as n_bytes from documents")
 def checksum_and_cipher(t):
-    """Encrypted with its id as authenticated data, decrypted again; another id opens nothing."""
+    """Texts encrypted with their ids as authenticated data, and decrypted again."""
     d = t.df("documents")
     key, aad = F.lit("0123456789abcdef"), F.col("doc_id").cast("string")
-    sealed = d.withColumn("c", F.aes_encrypt("text", key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(""), aad))
-    opened = F.try_aes_decrypt("c", key, F.lit("GCM"), F.lit("DEFAULT"), aad)
+    sealed = d.withColumn("c", scalars.encrypted(F.col("text"), key, aad))
+    opened = scalars.decrypted(F.col("c"), key, aad)
     return sealed.select("doc_id", (opened.cast("string") == F.col("text")).cast("int").alias("has_text"), F.octet_length(opened).cast("long").alias("n_bytes"))
 
 
