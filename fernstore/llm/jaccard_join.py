@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernstore.llm.components import connected_components
-from fernstore.llm.shared import table, written
+from fernstore.llm.shared import forget, table, written
 from fernstore.llm.signature_tree import links
 from fernstore.llm.textblocks import blocks, mix, shingle_hashes, utf8, word_hashes, words
 
@@ -152,7 +152,9 @@ def document_facts(docs: DataFrame) -> DataFrame:
     met = packed.where("kind >= 0").groupBy("kind").applyInPandas(_met_elsewhere, "chunk long, at binary, body binary")
     known = packed.where("kind < 0").select("chunk", "at", "body", "ids", "n", "d1", "d2")
     rows = known.unionByName(met, allowMissingColumns=True).groupBy("chunk").applyInPandas(_document_rows, "doc_id long, n long, d1 long, d2 long, met long")
-    return written(rows, "shingle_facts")
+    facts = written(rows, "shingle_facts")
+    forget(packed)
+    return facts
 
 
 def _least_overlap(n):
@@ -240,8 +242,8 @@ def _tree_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c[a]), pa.array(c[b])], ["a", "b"])
 
 
-def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Steps 3 and 4: links (a, b) between classes that connect all that links connect.
+def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Steps 3 to 5: node and root of every class that links with another.
 
     ``classes``: c, n, d1, d2 and doc_id (a document with the class's text) of the classes that may link.
     """
@@ -258,7 +260,11 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = x.join(y, (F.col("x.comp") == F.col("y.comp")) & (F.col("x.block") <= F.col("y.block")) & fit).select("x.comp", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
     places = pairs.select("comp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     tasks = members.join(places, ["comp", "block"]).join(sets.select("c", "hashes"), "c").select("comp", "i", "j", "block", "c", "hashes")
-    return tasks.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_tree_links, "a long, b long")
+    found = tasks.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_tree_links, "a long, b long")
+    roots = connected_components(found)
+    for done in (sets, keys):
+        forget(done)
+    return roots
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -268,7 +274,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = facts.where("n > 0").groupBy("d1", "d2").agg(F.min("n").alias("n"), F.max("met").alias("met"), F.min("doc_id").alias("doc_id"))
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     open_ = classes.where(F.col("met") >= _least_overlap(F.col("n")))
-    roots = connected_components(class_links(docs, open_))
+    roots = class_roots(docs, open_)
     named = classes.join(roots, classes.c == roots.node, "left").select("d1", "d2", F.coalesce("root", "c").alias("root"), F.col("doc_id"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "root").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "component_id")

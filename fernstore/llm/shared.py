@@ -40,6 +40,13 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the table that ``written`` has made for ``df``, once nothing lazy needs it any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        dropped(spark, folder)
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder that no DataFrame needs any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
