@@ -8,7 +8,8 @@ sequence is ``at`` plus the ids of all parts before: sums over one row a part.
 
 Encoding works on the distinct pieces of a block of text: a text is cut before each single space that stands
 between two visible characters, which no token of a byte-level vocabulary with the usual pattern crosses, and
-each distinct piece goes through the tokenizers library once.
+each distinct piece goes through the tokenizers library once; a worker process keeps
+the ids of the first ``MEMO`` pieces it has met.
 
 Edge cases: null and empty texts have the end id only; long texts are encoded whole; documents with equal ids
 are ordered by text, null ids come first; an empty table gives an empty result; other columns are ignored.
@@ -32,6 +33,7 @@ from fernstore.llm.textblocks import blocks, pieces, utf8
 END_ID = 2
 ROW_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
+MEMO = 300_000
 
 
 @lru_cache(maxsize=2)
@@ -62,8 +64,46 @@ def safe_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(here)
 
 
+class _Memo:
+    """The ids of the first ``MEMO`` pieces that a worker process has met, in one array."""
+
+    def __init__(self):
+        self.place: dict[bytes, int] = {}
+        self.before = np.zeros(1, dtype=np.int64)
+        self.ids = np.zeros(0, dtype=np.int32)
+
+    def add(self, texts: list[bytes], ids: np.ndarray, before: np.ndarray) -> None:
+        n = min(len(texts), MEMO - len(self.place))
+        if n > 0:
+            self.place.update(zip(texts[:n], range(len(self.place), len(self.place) + n), strict=True))
+            self.before = np.concatenate([self.before, self.before[-1] + before[1 : n + 1]])
+            self.ids = np.concatenate([self.ids, ids[: before[n]]])
+
+
+@lru_cache(maxsize=2)
+def _memo(path: str) -> _Memo:
+    return _Memo()
+
+
 def encode_distinct(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts in one array, and the number of ids before each text."""
+    """The ids of all texts (each given once) in one array, and the number of ids before each text."""
+    memo = _memo(path)
+    place = np.fromiter((memo.place.get(t, -1) for t in texts), dtype=np.int64, count=len(texts))
+    new = np.flatnonzero(place < 0)
+    fresh = [texts[i] for i in new.tolist()]
+    ids, ends = _encode(fresh, path)
+    old = np.flatnonzero(place >= 0)
+    sizes = np.empty(len(texts), dtype=np.int64)
+    sizes[new], sizes[old] = np.diff(ends), (memo.before[1:] - memo.before[:-1])[place[old]]
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.empty(before[-1], dtype=np.int32)
+    out[_runs(before[new], sizes[new])] = ids
+    out[_runs(before[old], sizes[old])] = memo.ids[_runs(memo.before[place[old]], sizes[old])]
+    memo.add(fresh, ids, ends)
+    return out, before
+
+
+def _encode(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     tokenizer, spaced = _tokenizer(path)
     plain = [i for i, t in enumerate(texts) if t[:1] == b" " and t.count(b" ") == 1 and len(t) > 1 and 0x20 < t[1] != 0x7F and 0x20 < t[-1] < 0x7F]
     sizes = np.zeros(len(texts), dtype=np.int64)
