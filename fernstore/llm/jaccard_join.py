@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from fernstore.llm.components import connected_components
 from fernstore.llm.shared import forget, table, written
 from fernstore.llm.signature_tree import links
-from fernstore.llm.textblocks import blocks, mix, shingle_hashes, utf8, word_hashes, words
+from fernstore.llm.textblocks import blocks, groups, mix, shingle_hashes, utf8, word_hashes, words
 
 SHINGLE = 5
 BLOCK_BYTES = 4 << 20  # of text at a time; its hashes and blobs take some 60 times as much
@@ -209,29 +209,9 @@ def _star(keys: DataFrame) -> DataFrame:
     return keys.join(least, keys.h == least.g).where("c <> b").select(F.col("c").alias("a"), "b").distinct()
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of the rows with the same keys, which follow each other in the batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = np.stack([batch.column(c).to_numpy() for c in keys])
-        edges = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            now = tuple(k[:, a].tolist())
-            if held and now != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = now
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _tree_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within each task of a component: among all sets of one block, or between the sets of two."""
-    for part in _groups(batches, ["comp", "i", "j"]):
+    for part in groups(batches, ["comp", "i", "j"]):
         c = part.column("c").to_numpy()
         sets = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in part.column("hashes").cast(pa.large_binary())]
         block = part.column("block").to_numpy()

@@ -35,8 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fernstore.llm.shared import table
-from fernstore.llm.textblocks import blocks, mix, pieces, utf8
-from fernstore.llm.token_files import _runs
+from fernstore.llm.textblocks import blocks, mix, pieces, spans, utf8
 
 DROPOUT = 0.1
 SEED = 11
@@ -93,7 +92,7 @@ class PieceModel:
         known = (ids >= 0) & (ids < len(self.size))
         ids = np.where(known, ids, 0)
         sizes = np.where(known, self.size[ids], 0)
-        data = self.raw[_runs(self.at[ids], sizes)]
+        data = self.raw[spans(self.at[ids], sizes)]
         total = np.concatenate([[0], np.cumsum(sizes)])[ends]
         first = total[:-1][np.diff(total) > 0]
         first = first[data[first] == 0x20]
@@ -243,7 +242,7 @@ def segment(model: PieceModel, words: list[bytes], variants: np.ndarray, dropout
     out = np.empty(before[-1], dtype=np.int32)
     if order:
         which = np.concatenate(order)
-        out[_runs(before[which], sizes[which])] = np.concatenate(parts)
+        out[spans(before[which], sizes[which])] = np.concatenate(parts)
     return out, before
 
 
@@ -274,7 +273,7 @@ def encode_block(keys: np.ndarray, column: pa.Array, path: str, dropout: float,
     ids, before = segment(model, words, variants, dropout, seed)
     sizes = (before[1:] - before[:-1])[at]
     ends = np.concatenate([[0], np.cumsum(sizes)])[first]
-    return ids[_runs(before[at], sizes)], ends
+    return ids[spans(before[at], sizes)], ends
 
 
 def _keys(column: pa.Array) -> np.ndarray:

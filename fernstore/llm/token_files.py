@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernstore.llm.shared import shared_path, table, written
-from fernstore.llm.textblocks import blocks, pieces, utf8
+from fernstore.llm.textblocks import blocks, pieces, spans, utf8
 
 END_ID = 2
 ROW_STRIDE = 1000
@@ -97,8 +97,8 @@ def encode_distinct(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarr
     sizes[new], sizes[old] = np.diff(ends), (memo.before[1:] - memo.before[:-1])[place[old]]
     before = np.concatenate([[0], np.cumsum(sizes)])
     out = np.empty(before[-1], dtype=np.int32)
-    out[_runs(before[new], sizes[new])] = ids
-    out[_runs(before[old], sizes[old])] = memo.ids[_runs(memo.before[place[old]], sizes[old])]
+    out[spans(before[new], sizes[new])] = ids
+    out[spans(before[old], sizes[old])] = memo.ids[spans(memo.before[place[old]], sizes[old])]
     memo.add(fresh, ids, ends)
     return out, before
 
@@ -132,16 +132,10 @@ def _encode(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     before = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum(sizes, out=before[1:])
     out = np.empty(before[-1], dtype=np.int32)
-    out[_runs(before[place], sizes[place])] = flat
+    out[spans(before[place], sizes[place])] = flat
     return out, before
 
 
-def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """``starts[i], starts[i] + 1, ...``, ``sizes[i]`` of each, one run after another."""
-    before = np.cumsum(sizes) - sizes
-    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
-
-
 def encode_block(column: pa.Array, path: str, end_id: int | None) -> pa.ListArray:
     """The ids of each text of a column."""
     data, offsets = utf8(column)
@@ -152,7 +146,7 @@ def encode_block(column: pa.Array, path: str, end_id: int | None) -> pa.ListArra
     ids, before = encode_distinct(coded.dictionary.to_pylist(), path)
     at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     sizes = (before[1:] - before[:-1])[at]
-    flat = ids[_runs(before[at], sizes)]
+    flat = ids[spans(before[at], sizes)]
     total = np.zeros(len(cuts), dtype=np.int64)
     np.cumsum(sizes, out=total[1:])
     bounds = total[first]

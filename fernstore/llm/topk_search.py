@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernstore.llm.shared import table, written
+from fernstore.llm.textblocks import groups
 
 K = 20
 SCALE = 64
@@ -149,9 +150,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from fernstore.llm.jaccard_join import _groups
-
-        for part in _groups(batches, ["block", "query_block"]):
+        for part in groups(batches, ["block", "query_block"]):
             yield from answers(part).to_batches()
 
     met = held.unionByName(asked).repartition("block", "query_block").sortWithinPartitions("block", "query_block").mapInArrow(run, "query_id long, vec_id long, score long")
