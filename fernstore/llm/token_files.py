@@ -34,6 +34,7 @@ END_ID = 2
 ROW_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
 MEMO = 300_000
+GROUP = 128  #: pieces that are encoded as one text
 
 
 @lru_cache(maxsize=2)
@@ -109,21 +110,23 @@ def _encode(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.zeros(len(texts), dtype=np.int64)
     ids: list[np.ndarray] = []
     order: list[np.ndarray] = []
-    for k in range(0, len(plain), 512):
-        group = plain[k : k + 512]
-        found = np.array(tokenizer.encode(b"".join(texts[i] for i in group).decode(), add_special_tokens=False).ids, dtype=np.int32)
-        begin = np.flatnonzero(spaced[found])
-        if len(begin) != len(group) or begin[0]:  # a piece that doesn't begin with a token of its own
-            plain[k : k + 512] = [-1] * len(group)
-            continue
-        sizes[group] = np.diff(begin, append=len(found))
-        ids.append(found)
-        order.append(np.array(group))
-    done = {i for i in plain if i >= 0}
+    joined = [plain[k : k + GROUP] for k in range(0, len(plain), GROUP)]
+    done: set[int] = set()
+    for k in range(0, len(joined), 64):
+        part = joined[k : k + 64]
+        for group, e in zip(part, tokenizer.encode_batch_fast([b"".join(texts[i] for i in g).decode() for g in part], add_special_tokens=False), strict=True):
+            found = np.array(e.ids, dtype=np.int32)
+            begin = np.flatnonzero(spaced[found])
+            if len(begin) != len(group) or begin[0]:
+                continue  # a piece that doesn't begin with a token of its own: these go one by one
+            sizes[group] = np.diff(begin, append=len(found))
+            ids.append(found)
+            order.append(np.array(group))
+            done.update(group)
     rest = [i for i in range(len(texts)) if i not in done]
     for k in range(0, len(rest), 512):
         group = rest[k : k + 512]
-        for i, e in zip(group, tokenizer.encode_batch([texts[i].decode() for i in group], add_special_tokens=False), strict=True):
+        for i, e in zip(group, tokenizer.encode_batch_fast([texts[i].decode() for i in group], add_special_tokens=False), strict=True):
             sizes[i] = len(e.ids)
             ids.append(np.array(e.ids, dtype=np.int32))
         order.append(np.array(group))
