@@ -3,18 +3,19 @@
 Tokens are runs of letters and digits and runs of other visible characters, as written; their unigrams and
 bigrams are hashed to ``BUCKETS`` buckets; bigrams that end in a word which is one of the two tokens before share one. Two generative models are smoothed bucket frequencies: the target's over
 labelled documents of quality 1, the raw one's over all documents. A document's log-weight is the sum over its
-n-grams of log target - log raw. Sampling without replacement by weight is a Gumbel top-k: each document's key
-is its log-weight over ``TEMPERATURE`` plus Gumbel noise drawn by hash from the seed and its id, and the k largest keys are
-taken. By default k is the number of documents whose log-weight is at least ``REJECTED``, that is, which the
-evidence doesn't clearly set apart from the target; noise then decides near that border only.
+n-grams of log target - log raw, and its mean weight the same over their number. Sampling without replacement by weight is a Gumbel top-k:
+each document's key is what ``LENGTH`` n-grams of its mean weight add up to, over ``TEMPERATURE``, plus Gumbel noise drawn by hash from the seed and its id, and
+the k largest keys are taken. A key of the plain sum would take short junk before long documents that are a little below the target.
+By default k is the number of documents of a mean weight above that of labelled junk (``cut``); noise then decides near that border only.
+The smoothing follows the target's size and the cut follows the labels, so neither depends on how large the corpus is.
 
 Bound: the target's counts come from at most ``TARGET_DOCS`` labelled documents, the first by the hash of their ids. The
-raw counts, the weights and k cover all documents. Bucket counts have a fixed size; the k-th largest key is
+raw counts, the weights and k cover all documents, the cut all labelled ones. Bucket counts have a fixed size; the k-th largest key is
 found by histograms that narrow down on it, never by a global sort.
 
 Edge cases: null, blank and empty texts have weight 0 (log 1) and take part; equal keys at the border are all
-taken; rows with equal ids share their noise; without target documents all weights are 0; an empty table gives an
-empty result; the columns log_weight and key are replaced, others kept.
+taken; rows with equal ids share their noise; without target documents all weights are 0 and all rows are kept; an empty table gives an
+empty result; the columns log_weight, mean_weight and key are replaced, others kept.
 """
 
 from __future__ import annotations
@@ -34,11 +35,15 @@ from fernstore.llm.textblocks import blocks, mix, runs, utf8, word_hashes
 BUCKETS = 1 << 14
 TARGET_DOCS = 20_000
 TEMPERATURE = 0.1
-#: Documents whose log-weight is below this are left out when k is derived.
-REJECTED = -5.0
-#: Pseudo-counts of the target's model per bucket on average, spread like the raw model: they keep a small target
+#: N-grams that a document counts as in its key, however long it is.
+LENGTH = 256
+#: Shares of the labelled junk that may lie above the cut, and of the labelled good documents that may lie below it.
+JUNK_ABOVE, GOOD_BELOW = 0.02, 0.01
+#: Pseudo-counts of the target's model per n-gram of the target, spread like the raw model: they keep a small target
 #: from rejecting what it merely hasn't shown.
-SMOOTHING = 300.0
+SMOOTHING = 1.0
+#: The cut where no junk is labelled, as a share of the least weight that an n-gram can have.
+UNLABELLED_CUT = 0.15
 SEED = 23
 
 _KINDS = np.full(256, 2, dtype=np.uint8)
@@ -103,14 +108,15 @@ def log_ratios(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     if not counts[1].any():
         return np.zeros(BUCKETS)
     raw = (counts[0] + 1) / (counts[0] + 1).sum()
-    target = (counts[1] + SMOOTHING * BUCKETS * raw) / (counts[1].sum() + SMOOTHING * BUCKETS)
+    pseudo = SMOOTHING * counts[1].sum()
+    target = (counts[1] + pseudo * raw) / (counts[1].sum() + pseudo)
     return np.log(target) - np.log(raw)
 
 
 def with_keys(docs: DataFrame, ratios: np.ndarray, key: str = "doc_id", text: str = "text", temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """``docs`` with log_weight and the Gumbel key."""
+    """``docs`` with log_weight, mean_weight and the Gumbel key."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
-    kept = [c for c in docs.columns if c not in ("log_weight", "key")]
+    kept = [c for c in docs.columns if c not in ("log_weight", "mean_weight", "key")]
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,12 +127,15 @@ def with_keys(docs: DataFrame, ratios: np.ndarray, key: str = "doc_id", text: st
             each[two >= 0] += ratio[two[two >= 0]]
             total = np.concatenate([[0.0], np.cumsum(each)])
             # rounded, so that equal texts weigh the same wherever they stand in a block
-            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(np.round(np.diff(total[first]), 6))], [*kept, "log_weight"])
+            weight = np.round(np.diff(total[first]), 6)
+            mean = np.round(weight / np.maximum(2 * np.diff(first) - 1, 1), 9)
+            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(weight), pa.array(mean)], [*kept, "log_weight", "mean_weight"])
 
-    scored = docs.select(*(docs[c] for c in kept)).mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField("log_weight", T.DoubleType())]))
+    weights = [T.StructField(c, T.DoubleType()) for c in ("log_weight", "mean_weight")]
+    scored = docs.select(*(docs[c] for c in kept)).mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *weights]))
     # 52 bits of a hash, never 0 or 1
     uniform = (F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
-    return scored.withColumn("key", F.col("log_weight") / temperature - F.log(-F.log(uniform)))
+    return scored.withColumn("key", LENGTH * F.col("mean_weight") / temperature - F.log(-F.log(uniform)))
 
 
 def kth_largest(values: DataFrame, column: str, k: int, bins: int = 1024) -> float:
@@ -155,12 +164,26 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 1024) -> flo
     return low
 
 
+def cut(weights: DataFrame, labels: DataFrame, key: str = "doc_id") -> float:
+    """The least mean weight that isn't rejected: above nearly all labelled junk, but not above many labelled good documents.
+
+    ``weights``: _id and mean_weight of all documents.
+    """
+    marked = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_label")).agg(F.max("quality").alias("_quality"))
+    of = lambda q, share: F.percentile_approx(F.when(F.col("_quality") == q, F.col("mean_weight")), share, 100_000)
+    junk, good = weights.join(marked, F.col("_id") == F.col("_label")).agg(of(0, 1 - JUNK_ABOVE), of(1, GOOD_BELOW)).first()
+    if good is None:
+        return -math.inf
+    least = UNLABELLED_CUT * math.log(SMOOTHING / (1 + SMOOTHING)) if junk is None else math.nextafter(junk, math.inf)
+    return min(least, good, 0.0)
+
+
 def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, key: str = "doc_id", text: str = "text", temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """``docs`` with log_weight, key, and kept: whether the document is among the k sampled."""
+    """``docs`` with log_weight, mean_weight, key, and kept: whether the document is among the k sampled."""
     keyed = with_keys(docs, log_ratios(docs, labels, key, text), key, text, temperature, seed)
-    slim = written(keyed.select("log_weight", "key"), "quality_keys")
+    slim = written(keyed.select(F.col(key).alias("_id"), "mean_weight", "key"), "quality_keys")
     if k is None:
-        k = slim.where(F.col("log_weight") >= REJECTED).count()
+        k = slim.where(F.col("mean_weight") >= cut(slim, labels, key)).count()
     return keyed.withColumn("kept", F.col("key") >= kth_largest(slim, "key", k))
 
 

@@ -64,6 +64,27 @@ def test_quality_keeps_good_and_rejects_junk(spark):
     assert sum(r.kept for r in good) / len(good) > 0.99 and sum(r.kept for r in bad) / len(bad) < 0.1
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_quality_rejects_junk_at_every_size(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet") for name in ("documents", "labels"))
+    out = quality.resampled(docs, labels).select("doc_id", "kept").join(labels, "doc_id").collect()
+    good, bad = [r.kept for r in out if r.quality == 1], [r.kept for r in out if r.quality == 0]
+    assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.05
+    # good documents that the target hasn't seen
+    seen = labels.where("quality = 0 or doc_id % 2 = 0")
+    held = [r.kept for r in quality.resampled(docs, seen).select("doc_id", "kept").join(labels.where("quality = 1 and doc_id % 2 = 1"), "doc_id").collect()]
+    assert sum(held) / len(held) > 0.95
+
+
+def test_quality_weighs_long_and_short_junk_alike(spark):
+    docs = [(i, f"good words of a target {i}") for i in range(200)] + [(1000 + n, "bad junk " * n) for n in range(2, 100)]
+    labels = [(i, 1) for i in range(0, 200, 2)] + [(1000 + n, 0) for n in range(2, 100, 3)]
+    out = quality.resampled(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert all(r.kept == (r.doc_id < 1000) for r in out)
+    few = quality.resampled(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), k=150).where("doc_id >= 1000 and kept").count()
+    assert few == 0
+
+
 def test_quality_of_odd_rows(spark, tmp_path):
     labels = spark.createDataFrame([(9, 1, 0), (10, 0, 0), (None, 1, None)], "doc_id long, quality int, toxic int")
     corpus.saved(spark, corpus.clashing(corpus.docs(spark)), tmp_path)
