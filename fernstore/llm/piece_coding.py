@@ -4,13 +4,14 @@ Encoding follows the rules of a byte-pair SentencePiece model file with identity
 the text, spaces are part of the pieces they begin, characters that the model lacks become byte pieces. A word,
 spaces and what follows up to the next space, is merged by an agenda: of all candidates, adjacent pairs whose
 concatenation is a piece, the one with the best piece is popped, leftmost first, and its neighbours make new
-candidates. A popped candidate is skipped for good when the hash of the seed, the word's variant, the word and the candidate's three borders falls
-below the dropout; this keyed hash needs no random state, so reruns agree. Which of ``VARIANTS`` variants a
-word gets depends on the document's id and the word's place, so equal words are segmented in different ways.
-With dropout 0 the pieces are the library's own.
-
-Words are deduplicated per block of text, and the agendas of all words of like length run side by side: their symbols
-are rows of a matrix, linked lists are two more, and every round pops one candidate per row. Words of more
+candidates. A popped candidate is skipped for good when the hash of the seed, the document's id, the word's place in it, the word and the candidate's
+three borders falls below the dropout; this keyed hash needs no random state, so reruns agree. So every occurrence of a
+word has skips of its own. With dropout 0 the pieces are the library's own.
+
+Work is shared between the occurrences in a block of text that skip the same candidates: a word's agenda runs once without skips, which is
+the segmentation of all occurrences that skip none of the merges it made; those that skip the same one of these first share the agenda without
+it, and so on. An occurrence that shares with no other, or after ``LEVELS`` skips, has an agenda of its own. The agendas of all words of like length
+run side by side: their symbols are rows of a matrix, linked lists are two more, and every round pops one candidate per row. Words of more
 than ``LONG`` characters use a heap.
 
 Decoding concatenates the pieces' bytes, spaces for their marks, and drops the first space. A text that holds
@@ -39,7 +40,7 @@ from fernstore.llm.textblocks import blocks, mix, pieces, spans, utf8
 
 DROPOUT = 0.1
 SEED = 11
-VARIANTS = 4
+LEVELS = 6
 LONG = 256
 NONE = np.int32(1 << 30)  # no candidate
 MARK = "▁"
@@ -137,8 +138,11 @@ def agenda(model: PieceModel, chars: np.ndarray, key: int, dropout: float) -> li
     return [x for x in ids if x != -2]
 
 
-def _side_by_side(model: PieceModel, chars: np.ndarray, lengths: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """The agendas of many words: a matrix of ids (-2 where a symbol was merged away or there is none), changed in place."""
+def _side_by_side(model: PieceModel, chars: np.ndarray, lengths: np.ndarray, keys: np.ndarray | None, dropout: float, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The agendas of many words: a matrix of ids (-2 where a symbol was merged away or there is none), which of its cells are in words, and the rows and candidates of all merges.
+
+    With ``keys`` the hash skips candidates; else each row's ``skips`` are skipped.
+    """
     n, width = chars.shape
     column = np.arange(width + 1)
     inside = column[None, :width] < lengths[:, None]
@@ -149,17 +153,17 @@ def _side_by_side(model: PieceModel, chars: np.ndarray, lengths: np.ndarray, key
     lasts = lengths.astype(np.int64)
 
     def candidates(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """The ranks of the pairs at i and j; NONE beyond the word and where the hash skips them."""
+        """The ranks of the pairs at i and j; NONE beyond the word and where they are skipped."""
         beyond = (j >= lasts[rows]) | (i < 0)
         j2 = np.where(beyond, 0, j)
         i2 = np.where(beyond, 0, i)
         out = model.rank(ids[rows, i2], ids[rows, j2])
         out[beyond] = NONE
-        if dropout:
+        if keys is not None or skips.shape[1]:
             some = np.flatnonzero(out != NONE)
             k = np.minimum(after[rows[some], j[some]], lasts[rows[some]])
-            h = keys[rows[some]] + i[some].astype(np.uint64) * _STEPS[0] + j[some].astype(np.uint64) * _STEPS[1] + k.astype(np.uint64) * _STEPS[2]
-            out[some[mix(h) < limit]] = NONE
+            found = _packed(i[some], j[some], k)
+            out[some[mix(keys[rows[some]] + _hashed(found)) < limit if keys is not None else (skips[rows[some]] == found[:, None]).any(axis=1)]] = NONE
         return out
 
     ranks = np.full((n, width), NONE, dtype=np.int32)
@@ -167,6 +171,7 @@ def _side_by_side(model: PieceModel, chars: np.ndarray, lengths: np.ndarray, key
     if len(rows):
         ranks[rows, i] = candidates(rows, i, i + 1)
     active = np.arange(n)
+    merged: list[tuple[np.ndarray, np.ndarray]] = [(active[:0], active[:0])]
     while len(active):
         own = ranks[active]
         i = own.argmin(axis=1)
@@ -177,6 +182,8 @@ def _side_by_side(model: PieceModel, chars: np.ndarray, lengths: np.ndarray, key
             break
         j = after[active, i].astype(np.int64)
         k = after[active, j].astype(np.int64)
+        if keys is None:
+            merged.append((active, _packed(i, j, np.minimum(k, lasts[active]))))
         ids[active, i], ids[active, j] = model.by_rank[best], -2
         after[active, i] = k
         before[active, k] = i
@@ -185,28 +192,33 @@ def _side_by_side(model: PieceModel, chars: np.ndarray, lengths: np.ndarray, key
         h = before[active, i].astype(np.int64)
         has = np.flatnonzero(h >= 0)
         ranks[active[has], h[has]] = candidates(active[has], h[has], i[has])
-    return ids, inside
+    return ids, inside, *(np.concatenate(c) for c in zip(*merged, strict=True))
 
 
-def segment(model: PieceModel, words: list[bytes], variants: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all words in one array, and the number of ids before each."""
-    text = b"".join(words).decode()
-    chars = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    data = np.frombuffer(b"".join(words), dtype=np.uint8)
-    heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    ends = heads[np.cumsum([len(w) for w in words], dtype=np.int64)] if words else np.zeros(0, dtype=np.int64)
-    begins = np.concatenate([[0], ends[:-1]]) if words else ends
-    lengths = ends - begins
-    # the word takes part in the key by a sum over its characters
-    place = np.arange(len(chars), dtype=np.uint64) - np.repeat(begins, lengths).astype(np.uint64)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(chars.astype(np.uint64) * _STEPS[0] + place * _STEPS[1]))])
-    keys = mix(sums[ends] - sums[begins] + (variants.astype(np.uint64) + np.uint64(1)) * _STEPS[2] + mix(np.full(1, seed, dtype=np.uint64))) if words else np.zeros(0, dtype=np.uint64)
-    sizes = np.zeros(len(words), dtype=np.int64)
+def _packed(i: np.ndarray, j: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """A candidate's three borders in one number; words of the matrices have at most ``LONG`` characters."""
+    return i.astype(np.int64) << 40 | j.astype(np.int64) << 20 | k
+
+
+def _hashed(candidates: np.ndarray) -> np.ndarray:
+    """What candidates add to the key."""
+    part = np.int64((1 << 20) - 1)
+    return (candidates >> 40).astype(np.uint64) * _STEPS[0] + (candidates >> 20 & part).astype(np.uint64) * _STEPS[1] + (candidates & part).astype(np.uint64) * _STEPS[2]
+
+
+def _agendas(model: PieceModel, chars: np.ndarray, begins: np.ndarray, lengths: np.ndarray, which: np.ndarray, keys: np.ndarray | None, dropout: float, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An agenda for each of the words ``which``: all ids, the number of ids before each, all merged candidates in order, and their number before each.
+
+    Merges are told only without ``keys``, and of words of at most ``LONG`` characters.
+    """
+    size = lengths[which]
+    sizes, counts = np.zeros(len(which), dtype=np.int64), np.zeros(len(which), dtype=np.int64)
     parts: list[np.ndarray] = []
+    traces: list[np.ndarray] = []
     order: list[np.ndarray] = []
 
-    def put(which: np.ndarray, ids: np.ndarray, at: np.ndarray, owner: np.ndarray) -> None:
-        """Ids of the words ``which`` in order; at: the characters they begin with; owner: their words."""
+    def put(rows: np.ndarray, ids: np.ndarray, at: np.ndarray, owner: np.ndarray) -> None:
+        """Ids of ``rows`` in order; at: the characters they begin with; owner: which of the rows they are of."""
         lacking = np.flatnonzero(ids == -1)
         if len(lacking):
             raw = [chr(chars[a]).encode("utf-8") for a in at[lacking]]
@@ -214,40 +226,115 @@ def segment(model: PieceModel, words: list[bytes], variants: np.ndarray, dropout
             times[lacking] = [len(r) for r in raw]
             ids, owner = np.repeat(ids, times), np.repeat(owner, times)
             ids[ids == -1] = model.byte_id[np.frombuffer(b"".join(raw), dtype=np.uint8)]
-        sizes[which] = np.bincount(owner, minlength=len(words))[which] if len(which) > 64 else [int((owner == w).sum()) for w in which]
+        sizes[rows] = np.bincount(owner, minlength=len(rows))
         parts.append(ids)
-        order.append(which)
+        order.append(rows)
 
     width = 4
     done = 0
-    while done < min(LONG, int(lengths.max(initial=0))):
-        chosen = np.flatnonzero((lengths > done) & (lengths <= width))
+    while done < min(LONG, int(size.max(initial=0))):
+        chosen = np.flatnonzero((size > done) & (size <= width))
         step = max(1, (1 << 19) // width)
         for k in range(0, len(chosen), step):
             rows = chosen[k : k + step]
-            at = np.minimum(begins[rows][:, None] + np.arange(width), max(len(chars) - 1, 0))
-            ids, inside = _side_by_side(model, chars[at], lengths[rows], keys[rows], dropout)
+            at = np.minimum(begins[which[rows]][:, None] + np.arange(width), max(len(chars) - 1, 0))
+            ids, inside, owner, merged = _side_by_side(model, chars[at], size[rows], None if keys is None else keys[rows], dropout, skips[rows])
             kept = inside & (ids != -2)
-            put(rows, ids[kept], at[kept], np.broadcast_to(rows[:, None], ids.shape)[kept])
+            put(rows, ids[kept], at[kept], np.broadcast_to(np.arange(len(rows))[:, None], ids.shape)[kept])
+            counts[rows] = np.bincount(owner, minlength=len(rows))
+            traces.append(merged[np.argsort(owner, kind="stable")])
         done, width = width, width + 4 if width < 24 else min(2 * width, LONG)
-    for w in np.flatnonzero(lengths > LONG).tolist():
-        own = chars[begins[w] : ends[w]]
-        ids = np.array(agenda(model, own, int(keys[w]), dropout), dtype=np.int32)
+    for r in np.flatnonzero(size > LONG).tolist():
+        w = which[r]
+        own = chars[begins[w] : begins[w] + lengths[w]]
+        ids = np.array(agenda(model, own, 0, 0.0) if keys is None else agenda(model, own, int(keys[r]), dropout), dtype=np.int32)
         # characters that the model lacks stay single, so they can be told from the rest in order
         lacking = np.flatnonzero(model.char_id[own] == -1) + begins[w]
         at = np.zeros(len(ids), dtype=np.int64)
         at[ids == -1] = lacking
-        put(np.array([w]), ids, at, np.full(len(ids), w))
-    before = np.concatenate([[0], np.cumsum(sizes)])
-    out = np.empty(before[-1], dtype=np.int32)
-    if order:
-        which = np.concatenate(order)
-        out[spans(before[which], sizes[which])] = np.concatenate(parts)
-    return out, before
+        put(np.array([r]), ids, at, np.zeros(len(ids), dtype=np.int64))
+    found = []
+    rows = np.concatenate(order) if order else np.zeros(0, dtype=np.int64)
+    for n, lists, kind in ((sizes, parts, np.int32), (counts, traces, np.int64)):
+        before = np.concatenate([[0], np.cumsum(n)])
+        out = np.empty(before[-1], dtype=kind)
+        if lists:
+            out[spans(before[rows], n[rows])] = np.concatenate(lists)
+        found += [out, before]
+    return tuple(found)
+
+
+def _first_skipped(keys: np.ndarray, own: np.ndarray, start: np.ndarray, merged: np.ndarray, before: np.ndarray, limit: np.uint64) -> np.ndarray:
+    """For each key, which merge of its agenda ``own`` from number ``start`` on is the first that the hash skips; -1 for none."""
+    hashed = _hashed(merged)
+    out = np.full(len(keys), -1, dtype=np.int64)
+    for c in range(0, len(keys), 1 << 18):
+        o = own[c : c + (1 << 18)]
+        n = before[o + 1] - before[o] - start[o]
+        owner = np.repeat(np.arange(len(o)), n)
+        hit = np.flatnonzero(mix(keys[c + owner] + hashed[spans(before[o] + start[o], n)]) < limit)
+        by = owner[hit]
+        first = np.flatnonzero(np.diff(by, prepend=-1))
+        out[c + by[first]] = hit[first] - (np.cumsum(n) - n)[by[first]] + start[o[by[first]]]
+    return out
+
+
+def segmentations(model: PieceModel, words: list[bytes], at: np.ndarray, draws: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of all occurrences ``at`` of words in one array, the number of ids before each, and each one's number without dropout. ``draws``: what sets an occurrence's skips."""
+    text = b"".join(words).decode()
+    chars = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    data = np.frombuffer(b"".join(words), dtype=np.uint8)
+    heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    ends = heads[np.cumsum([len(w) for w in words], dtype=np.int64)] if words else np.zeros(0, dtype=np.int64)
+    begins = np.concatenate([[0], ends[:-1]]) if words else ends
+    lengths = ends - begins
+    which, skips = np.arange(len(words)), np.zeros((len(words), 0), dtype=np.int64)
+    ids, before, merged, merges = _agendas(model, chars, begins, lengths, which, None, 0.0, skips)
+    plain = np.diff(before)[at]
+    node, total = at, len(words)
+    parts, sizes = [ids], [np.diff(before)]
+    if dropout and len(at):
+        # the word takes part in the key by a sum over its characters
+        place = np.arange(len(chars), dtype=np.uint64) - np.repeat(begins, lengths).astype(np.uint64)
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(chars.astype(np.uint64) * _STEPS[0] + place * _STEPS[1]))])
+        keys = mix((sums[ends] - sums[begins])[at] + (draws.astype(np.uint64) + np.uint64(1)) * _STEPS[2] + mix(np.full(1, seed, dtype=np.uint64)))
+        node = at.copy()
+        alone = [np.flatnonzero(lengths[at] > LONG)]
+        left = np.flatnonzero(lengths[at] <= LONG)
+        own, start = at[left], np.zeros(len(words), dtype=np.int64)
+        for level in range(LEVELS + 1):
+            first = _first_skipped(keys[left], own, start, merged, merges, _limit(dropout))
+            left, own, first = left[first >= 0], own[first >= 0], first[first >= 0]
+            if level == LEVELS or not len(left):
+                alone.append(left)
+                break
+            kinds, kind, count = np.unique(own * (LONG + 1) + first, return_inverse=True, return_counts=True)
+            shared = count > 1
+            alone.append(left[~shared[kind]])
+            left, own = left[shared[kind]], (np.cumsum(shared) - 1)[kind[shared[kind]]]
+            parents, start = kinds[shared] // (LONG + 1), kinds[shared] % (LONG + 1)
+            which, skips = which[parents], np.column_stack([skips[parents], merged[merges[parents] + start]])
+            ids, before, merged, merges = _agendas(model, chars, begins, lengths, which, None, 0.0, skips)
+            node[left] = total + own
+            total += len(which)
+            parts.append(ids)
+            sizes.append(np.diff(before))
+        rest = np.concatenate(alone)
+        ids, before, *_ = _agendas(model, chars, begins, lengths, at[rest], keys[rest], dropout, np.zeros((len(rest), 0), dtype=np.int64))
+        node[rest] = total + np.arange(len(rest))
+        parts.append(ids)
+        sizes.append(np.diff(before))
+    ids, size = np.concatenate(parts), np.concatenate(sizes)
+    return ids[spans((np.cumsum(size) - size)[node], size[node])], np.concatenate([[0], np.cumsum(size[node])]), plain
+
+
+def segment(model: PieceModel, words: list[bytes], draws: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words in one array, and the number of ids before each."""
+    return segmentations(model, words, np.arange(len(words)), draws, dropout, seed)[:2]
 
 
-def encode_block(keys: np.ndarray, column: pa.Array, path: str, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts of a column in one array, and the ends of the texts in it (0 first). ``keys``: documents' ids."""
+def encode_block(keys: np.ndarray, column: pa.Array, path: str, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of all texts of a column in one array, the ends of the texts in it (0 first), and their numbers of ids without dropout. ``keys``: documents' ids."""
     model = _model(path)
     data, offsets = utf8(column)
     some = np.flatnonzero(np.diff(offsets))
@@ -262,18 +349,11 @@ def encode_block(keys: np.ndarray, column: pa.Array, path: str, dropout: float,
     coded = pieces(data, cuts)
     at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     words = coded.dictionary.to_pylist()
-    if dropout:
-        owner = np.repeat(keys.astype(np.uint64), np.diff(first))
-        place = np.arange(len(at), dtype=np.uint64) - np.repeat(first[:-1], np.diff(first)).astype(np.uint64)
-        variant = (mix(owner * _STEPS[1] + place * _STEPS[0] + np.uint64(seed)) % np.uint64(VARIANTS)).astype(np.int64)
-        both, at = np.unique(at * VARIANTS + variant, return_inverse=True)
-        words, variants = [words[i] for i in (both // VARIANTS).tolist()], both % VARIANTS
-    else:
-        variants = np.zeros(len(words), dtype=np.int64)
-    ids, before = segment(model, words, variants, dropout, seed)
-    sizes = (before[1:] - before[:-1])[at]
-    ends = np.concatenate([[0], np.cumsum(sizes)])[first]
-    return ids[spans(before[at], sizes)], ends
+    owner = np.repeat(keys.astype(np.uint64), np.diff(first))
+    place = np.arange(len(at), dtype=np.uint64) - np.repeat(first[:-1], np.diff(first)).astype(np.uint64)
+    draws = mix(owner * _STEPS[1] + place * _STEPS[0] + np.uint64(seed))
+    ids, before, plain = segmentations(model, words, at, draws, dropout, seed)
+    return ids, before[first], np.diff(np.concatenate([[0], np.cumsum(plain)])[first])
 
 
 def _keys(column: pa.Array) -> np.ndarray:
@@ -287,7 +367,7 @@ def encode_pieces(docs: DataFrame, model: str, key: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text, 8 << 20):
-            ids, ends = encode_block(_keys(block.column(key_at)), block.column(at), model, dropout, seed)
+            ids, ends, _ = encode_block(_keys(block.column(key_at)), block.column(at), model, dropout, seed)
             made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*block.columns, made, pa.array(np.diff(ends))], [*kept, "ids", "n_tokens"])
 
@@ -329,7 +409,7 @@ def coded_and_checked(docs: DataFrame, model: str, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text, 8 << 20):
-            ids, ends = encode_block(_keys(block.column(0)), block.column(1), model, dropout, seed)
+            ids, ends, _ = encode_block(_keys(block.column(0)), block.column(1), model, dropout, seed)
             made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([block.column(0), made, pa.array(np.diff(ends)), pa.array(_same_texts(_model(model), ids, ends, block.column(1)))], [key, "ids", "n_tokens", "lossless"])
 
@@ -345,8 +425,7 @@ def piece_facts(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", 8 << 20):
             keys = _keys(block.column(0))
-            ids, ends = encode_block(keys, block.column(1), model, dropout, seed)
-            plain = np.diff(encode_block(keys, block.column(1), model, 0.0, seed)[1])
+            ids, ends, plain = encode_block(keys, block.column(1), model, dropout, seed)
             same = _same_texts(_model(model), ids, ends, block.column(1))
             view = memoryview(ids.astype("<u4")).cast("B")
             sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]

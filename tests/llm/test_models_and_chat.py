@@ -191,6 +191,44 @@ def test_agendas_side_by_side_equal_the_heap(monkeypatch):
         assert all((x == y).all() for x, y in zip(a, b, strict=True))
 
 
+def test_every_occurrence_of_a_word_draws_its_own_skips():
+    model = piece_coding._model(MODEL)
+    n = 4000
+    of = piece_coding.segment(model, [b" of"], np.zeros(1), 0.0, 5)[0].tolist()
+    ids, ends, plain = piece_coding.encode_block(np.arange(4), pa.array([" ".join(["of"] * n), *[" ".join(["understanding"] * n)] * 3]), MODEL, 0.1, 5)
+    assert len(of) == 1 and plain[0] == n
+    raw = ids.tolist()
+    texts = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    # " of" comes whole from two merges (0.9 * 0.9) or, where the first is skipped, from two others (0.1 * 0.9 * 0.9)
+    assert texts[0].count(of[0]) / n == pytest.approx(0.891, abs=0.02)
+    seen = set()
+    for t in texts[1:]:
+        joined = [model.raw[model.at[i] : model.at[i] + model.size[i]].tobytes() for i in t]
+        word: list[bytes] = []
+        for x in joined:
+            if x.startswith(b" ") and word:
+                seen.add(tuple(word))
+                word = []
+            word.append(x)
+    assert len(seen) > 12
+
+
+def test_shared_agendas_equal_agendas_of_each_occurrence(monkeypatch):
+    model = piece_coding._model(MODEL)
+    rng = np.random.default_rng(4)
+    words = [" of", " understanding", " 你é", "x" * 40, " the", " a", " " * 9, " counter-revolutionaries"]
+    at = rng.integers(0, len(words), 3000)
+    draws = rng.integers(0, 1 << 62, 3000).astype(np.uint64)
+    for dropout in (0.1, 0.5, 1.0):
+        ids, before, _ = piece_coding.segmentations(model, [w.encode() for w in words], at, draws, dropout, 7)
+        want, ends = piece_coding.segment(model, [words[i].encode() for i in at], draws, dropout, 7)
+        assert (ids == want).all() and (before == ends).all()
+        monkeypatch.setattr(piece_coding, "LONG", 0)
+        want, ends = piece_coding.segment(model, [words[i].encode() for i in at], draws, dropout, 7)
+        monkeypatch.setattr(piece_coding, "LONG", 256)
+        assert (ids == want).all() and (before == ends).all()
+
+
 # --- pipeline
 
 
