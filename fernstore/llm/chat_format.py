@@ -10,11 +10,12 @@ within its span is found by rendering the prefix once more with a probe characte
 control string inside a role or text, and backslashes are doubled, so that no control string can be forged and
 ``unescaped`` gives the text back.
 
-Scale: conversations are dealt out by id and read in order of their turns as a stream, so no task holds a
-conversation, however many turns it has. Rendering all prefixes would grow with the square of the length; a
-conversation of more than ``SEGMENT`` turns is rendered segment by segment, each segment starting from an empty
-history, which yields the same string for templates that mark turns one by one, and the joined output is one row per
-segment. Digests over all turns of a conversation are inherently one sequence and run along the stream.
+Scale: conversations are dealt out by id and read in order of their turns as a stream; the output is one row per ``SEGMENT``
+turns, and a conversation's rows joined are its rendering. Of a template that is a black box every prefix of a conversation is rendered whole, however
+many turns it has: a task holds the conversation, and the time grows with the square of its length. Only a template that is said to
+render turn by turn (``by_turn``; ``TEMPLATE`` does) starts each segment from an empty history, so that no task holds a conversation; at each
+border the segment with the next turn is rendered too, and ``RewritesHistory`` tells a template that doesn't give the two parts joined.
+Digests over all turns of a conversation are inherently one sequence and run along the stream.
 
 Edge cases: null roles and texts are empty; turns with equal numbers are ordered by role and text, a null turn comes
 first; repeated rows are turns of their own; rows without conv_id form one conversation; an empty table gives an
@@ -62,20 +63,26 @@ class RewritesHistory(ValueError):
     """A template whose output for a longer conversation doesn't begin with its output for the shorter one."""
 
 
+def extended(out: str, turns: Turns, template: Callable[[Turns], str], k: int) -> tuple[str, int, int]:
+    """The rendering of ``turns``, where ``out`` is that without the last, turn ``k`` of its conversation; and the ends of the last one's text in it."""
+    now = template(turns)
+    if not now.startswith(out):
+        same = len(os.path.commonprefix([out, now]))
+        raise RewritesHistory(f"turn {k} changes what was rendered before it, from character {same} on")
+    # the probe stands where the text would; what follows it is as long in both renderings
+    probed = template([*turns[:-1], (turns[-1][0], PROBE)])
+    at = probed.find(PROBE, len(os.path.commonprefix([out, probed])) if PROBE in out else 0)
+    begin, end = at, len(now) - (len(probed) - at - len(PROBE))
+    if at < len(out) or end < begin or now[:begin] != probed[:at] or now[end:] != probed[at + len(PROBE) :]:
+        raise RewritesHistory(f"the text of turn {k} can't be located in its span")
+    return now, begin, end
+
+
 def spans(turns: Turns, template: Callable[[Turns], str] = TEMPLATE) -> tuple[str, list[tuple[int, int, int, int]]]:
     """The rendered conversation, and for each turn the ends of its span and of its text in it."""
     out, found = template([]), []
     for k in range(len(turns)):
-        now = template(turns[: k + 1])
-        if not now.startswith(out):
-            same = len(os.path.commonprefix([out, now]))
-            raise RewritesHistory(f"turn {k} changes what was rendered before it, from character {same} on")
-        # the probe stands where the text would; what follows it is as long in both renderings
-        probed = template([*turns[:k], (turns[k][0], PROBE)])
-        at = probed.find(PROBE, len(os.path.commonprefix([out, probed])) if PROBE in out else 0)
-        begin, end = at, len(now) - (len(probed) - at - len(PROBE))
-        if at < len(out) or end < begin or now[:begin] != probed[:at] or now[end:] != probed[at + len(PROBE) :]:
-            raise RewritesHistory(f"the text of turn {k} can't be located in its span")
+        now, begin, end = extended(out, turns[: k + 1], template, k)
         found.append((len(out), len(now), begin, end))
         out = now
     return out, found
@@ -96,17 +103,17 @@ def parsed(formatted: str) -> Turns:
 _FORMATTED = "conv_id long, segment int, formatted string, mask array<int>"
 
 
-def formatted(conversations: DataFrame, template: Callable[[Turns], str] = TEMPLATE, learned: str = "assistant") -> DataFrame:
-    """Per conversation and segment: the rendered text, and a mask of begin and end of each text to learn."""
+def formatted(conversations: DataFrame, template: Callable[[Turns], str] = TEMPLATE, learned: str = "assistant", by_turn: bool | None = None) -> DataFrame:
+    """Per conversation and segment: the rendered text, and a mask of begin and end of each text to learn.
 
-    def rows(conv: int | None, segment: int, turns: Turns) -> tuple:
-        text, found = spans(turns, template)
-        mask = [x for (role, _), (_, _, a, b) in zip(turns, found, strict=True) if role == learned for x in (a, b)]
-        return conv, segment, text, mask
+    ``by_turn``: whether the template renders each turn without regard to the others; by default only ``TEMPLATE`` is taken to.
+    """
+    apart = template is TEMPLATE if by_turn is None else by_turn
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, segment, turns, out = None, 0, [], []
-        started = False
+        out: list[tuple] = []
+        last, k, base, started = None, 0, 0, False  # base: the characters of the rendering that earlier rows hold
+        turns, text, mask = [], "", []
 
         def batch() -> pa.RecordBatch:
             made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32())), strict=True)]
@@ -114,16 +121,28 @@ def formatted(conversations: DataFrame, template: Callable[[Turns], str] = TEMPL
             return pa.RecordBatch.from_arrays(made, ["conv_id", "segment", "formatted", "mask"])
 
         for b in batches:
-            for conv, role, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if started and (conv != last or len(turns) == SEGMENT):
-                    out.append(rows(last, segment, turns))
-                    segment, turns = (segment + 1 if conv == last else 0), []
-                    if len(out) == 256:
-                        yield batch()
-                started, last = True, conv
-                turns.append((role, text))
-        if turns:
-            out.append(rows(last, segment, turns))
+            for conv, role, said in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not started or conv != last:
+                    if started:
+                        out.append((last, (k - 1) // SEGMENT, text[base:], mask))
+                    started, last, k, base = True, conv, 0, 0
+                    turns, text, mask = [], template([]), []
+                elif k % SEGMENT == 0:
+                    out.append((last, (k - 1) // SEGMENT, text[base:], mask))
+                    base, mask = len(text), []
+                    if apart:
+                        if template([*turns, (role, said)]) != text + template([(role, said)]):
+                            raise RewritesHistory(f"turn {k} isn't rendered apart from those before it")
+                        turns, text, base = [], template([]), 0
+                if len(out) >= 256:
+                    yield batch()
+                turns.append((role, said))
+                text, begin, end = extended(text, turns, template, k)
+                if role == learned:
+                    mask += [begin - base, end - base]
+                k += 1
+        if started:
+            out.append((last, (k - 1) // SEGMENT, text[base:], mask))
         if out:
             yield batch()
 

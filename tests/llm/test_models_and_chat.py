@@ -147,6 +147,32 @@ def test_templates_that_rewrite_history_are_found():
         chat_format.spans(turns, lambda ts: "".join(r for r, _ in ts))
 
 
+def test_long_conversations_are_rendered_as_the_template_does(spark):
+    size = chat_format.SEGMENT
+    turns = {1: size, 2: size + 1, 3: 3 * size + 5, 4: 1}
+    said = {c: [("assistant" if i % 3 else "user", f"{c}.{i}") for i in range(n)] for c, n in turns.items()}
+    rows = [(c, i, role, text) for c in said for i, (role, text) in enumerate(said[c])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    headed = lambda ts: "<bos>" + "".join(f"<{r}>{t}" for r, t in ts)
+    numbered = lambda ts: "".join(f"{i}{r}:{t};" for i, (r, t) in enumerate(ts))
+    changes = lambda ts: "".join(("|" if i and ts[i - 1][0] != r else "") + f"({t})" for i, (r, t) in enumerate(ts))
+    for template in (headed, numbered, changes, chat_format.TEMPLATE):
+        got = chat_format.formatted(df, template).orderBy("conv_id", "segment").collect()
+        for c in said:
+            own = [r for r in got if r.conv_id == c]
+            assert [r.segment for r in own] == list(range(-(-turns[c] // size)))
+            assert "".join(r.formatted for r in own) == template(said[c])
+            assert [r.formatted[a:b] for r in own for a, b in zip(r["mask"][0::2], r["mask"][1::2], strict=True)] == [t for r, t in said[c] if r == "assistant"]
+    late = lambda ts: "".join(f"<{r}>{t}" for r, t in ts[-size - 3 :])  # noqa: E731  forgets the oldest turns
+    across = lambda ts: "".join(("+" if i == size - 1 and len(ts) > size else "") + f"{r}:{t}" for i, (r, t) in enumerate(ts))
+    for bad in (late, across):
+        with pytest.raises(Exception, match="RewritesHistory"):
+            chat_format.formatted(df, bad).collect()
+    for context in (headed, numbered, across):
+        with pytest.raises(Exception, match="RewritesHistory"):
+            chat_format.formatted(df, context, by_turn=True).collect()
+
+
 def test_escapes_are_reversible():
     rng = random.Random(6)
     parts = ["<s>", "</s>", "[INST]", "[/INST]", "\\", "<", "/", "s>", "[", "INST]", "x", "\n", "<<SYS>>", "<</SYS>>"]
