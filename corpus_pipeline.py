@@ -27,15 +27,22 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-copy component, that with the smallest id, and every document without words.
+    """One row of each near-copy component, that with the smallest id (none is the largest), and every row without words.
 
-    Rows with equal ids count as one document. Rows without an id name no component and all stay.
+    Rows are told apart by a hash of id and text, so rows with equal ids or without one are documents of their own;
+    rows equal in both are copies, of which one stays.
     """
-    found = jaccard_join.jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    left = docs.join(found, docs.doc_id == F.col("_copy"), "left_anti").select(*docs.columns)
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias("_twice"))
-    rows = left.join(repeated, left.doc_id == F.col("_twice"), "left")
-    again = rows.where("_twice is not null").select(*docs.columns, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")).alias("_n")).where("_n = 1").select(*docs.columns)
+    row = F.xxhash64("doc_id", "text")
+    found = jaccard_join.jaccard_components(docs.select(row.alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("_row"))
+    found = written(found.agg(F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("times"), F.min("component_id").alias("component")), "row_components")
+    ids = docs.select(row.alias("_key"), "doc_id").groupBy("_key").agg(F.min("doc_id").alias("_id"))
+    first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))).getField("_row")
+    stay = found.join(ids, found["_row"] == F.col("_key")).groupBy("component").agg(first.alias("_stay")).select("_stay")
+    copies = found.join(stay, found["_row"] == F.col("_stay"), "left_anti").select(F.col("_row").alias("_copy"))
+    left = docs.withColumn("_row", row).join(copies, F.col("_row") == F.col("_copy"), "left_anti")
+    repeated = found.where("times > 1 and n > 0").select(F.col("_row").alias("_twice"))
+    rows = left.join(repeated, F.col("_row") == F.col("_twice"), "left")
+    again = rows.where("_twice is not null").select(*docs.columns, F.row_number().over(Window.partitionBy("_twice").orderBy("text")).alias("_n")).where("_n = 1").select(*docs.columns)
     return rows.where("_twice is null").select(*docs.columns).unionByName(again)
 
 

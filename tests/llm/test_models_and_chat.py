@@ -283,6 +283,16 @@ def test_pipeline_stage_by_stage(spark):
     assert e.count() == d.count() and e.where("not lossless").count() == 0
 
 
+def test_copies_are_removed_by_row(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(3, a), (5, a + " more"), (5, b), (5, c), (5, c), (7, b), (None, c), (None, "only once here"), (None, "only once here"), (8, ""), (8, ""), (None, None), (None, None), (9, "only\nonce here")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], corpus.SCHEMA).repartition(5)
+    got = sorted(((r.doc_id or 0, r.text or "") for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()))
+    assert got == sorted([(3, a), (5, b), (5, c), (9, "only\nonce here"), (8, ""), (8, ""), (0, ""), (0, "")])
+    lone = spark.createDataFrame([(None, t, "en", "s", 0) for t in (a, a, b)], corpus.SCHEMA)
+    assert sorted(r.text for r in corpus_pipeline.one_of_each_group(spark, lone, SF).collect()) == [a, b]
+
+
 def test_pipeline_stages_take_odd_and_empty_tables(spark, tmp_path):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)] + [(None, None, None)], "doc_id long, quality int, toxic int")
     sf = corpus.saved(spark, labels, tmp_path, "labels")
