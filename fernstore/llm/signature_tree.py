@@ -19,10 +19,13 @@ FANOUT = 8
 
 
 class Forest:
-    """Union-find with path halving."""
+    """Union-find with path halving. ``known``: labels of what belongs together from the start."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, known: np.ndarray | None = None):
         self.up = np.arange(n)
+        if known is not None and n:
+            _, first, label = np.unique(known, return_index=True, return_inverse=True)
+            self.up = first[label]
 
     def find(self, x: int) -> int:
         up = self.up
@@ -103,11 +106,12 @@ def verified(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, percent: int)
     return np.nonzero(100 * shared >= percent * (total - shared))
 
 
-def links(sets: list[np.ndarray], percent: int = 75, left: np.ndarray | None = None, right: np.ndarray | None = None) -> list[tuple[int, int]]:
+def links(sets: list[np.ndarray], percent: int = 75, left: np.ndarray | None = None, right: np.ndarray | None = None, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of positions that connect all sets which links connect: a spanning forest of the links.
 
     ``sets``: sorted arrays of distinct tokens (uint64). With ``left`` and ``right``, only links between these two
-    groups of positions count; else links among all. Empty sets link with nothing.
+    groups of positions count; else links among all. Empty sets link with nothing. ``known`` labels sets that belong
+    together already, whose links aren't looked for.
     """
     whole = np.array([i for i, s in enumerate(sets) if len(s)], dtype=np.int64)
     left = whole if left is None else left
@@ -119,7 +123,7 @@ def links(sets: list[np.ndarray], percent: int = 75, left: np.ndarray | None = N
         width *= 2
     a = build(sets, left, width)
     b = a if right is None else build(sets, right, width)
-    forest, found = Forest(len(sets)), []
+    forest, found = Forest(len(sets), known), []
     stack = [(a, b)]
     while stack:
         x, y = stack.pop()

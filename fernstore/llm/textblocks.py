@@ -1,11 +1,14 @@
 """Whole-text kernels on Arrow blocks: numpy over the UTF-8 bytes of many documents at once.
 
 A block is a slice of a record batch with at most ``BLOCK_BYTES`` of text (one longer text is a block of its
-own), so a worker's memory is bounded by the block or the longest text.
+own), so a worker's memory is bounded by the block or the longest text. Hashes are taken in parts of ``PART`` bytes or
+words, so that beside a long text there is little but its words' hashes.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,24 +16,36 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 12 << 20
+BLOCK_ROWS = 1 << 15
+PART = 1 << 18
 
 #: ASCII white space of the word pattern ``[^\x20\x09-\x0D]+``.
 _IN_WORD = np.ones(256, dtype=np.uint8)
 _IN_WORD[[0x20, *range(0x09, 0x0E)]] = 0
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: workers are reused, and later stages need the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is a glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most ``limit`` bytes of text each, in order; none is empty."""
+    """Slices of the batches with at most ``limit`` bytes of text and ``BLOCK_ROWS`` rows each, in order; none is empty."""
     for batch in batches:
+        tidy()
         if not batch.num_rows:
             continue
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
             base = size[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(size, base + limit, side="right")))
+            stop = min(max(start + 1, int(np.searchsorted(size, base + limit, side="right"))), start + BLOCK_ROWS)
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+    tidy()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,33 +108,46 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that powers have inverses modulo 2**64
-_POWERS: list[np.ndarray] = []
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least ``n + 1`` of each; kept for the next block."""
-    if not _POWERS or len(_POWERS[0]) <= n:
-        both = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(n + 1, np.uint64(base))
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _POWERS[:] = both
-    return _POWERS[0], _POWERS[1]
+def _powers(base: int) -> np.ndarray:
+    """The powers of a base from 0 to ``PART``."""
+    p = np.full(PART + 1, np.uint64(base))
+    p[0] = 1
+    return np.multiply.accumulate(p)
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def _long_word(word: np.ndarray) -> int:
+    """The sum of byte values times powers over a word of any length."""
+    total = 0
+    for k in range(0, len(word), PART):
+        part = word[k : k + PART]
+        total += int((_BYTE[part] * _POWER[: len(part)]).sum()) * pow(_BASE, k, 1 << 64)
+    return total % (1 << 64)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, from prefix sums of byte values times powers: no loop over words."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    power, inverse = _powers(len(data))
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    out = np.empty(len(starts), dtype=np.uint64)
+    a = 0
+    while a < len(starts):
+        base = int(starts[a])
+        b = int(np.searchsorted(ends, base + PART, side="right"))
+        if b <= a:
+            out[a] = _long_word(data[base : ends[a]])
+            b = a + 1
+        else:
+            part, begin, end = data[base : ends[b - 1]], starts[a:b] - base, ends[a:b] - base
+            sums = np.empty(len(part) + 1, dtype=np.uint64)
+            sums[0] = 0
+            np.cumsum(_BYTE[part] * _POWER[: len(part)], out=sums[1:])
+            out[a:b] = (sums[end] - sums[begin]) * _INVERSE[begin]
+        a = b
+    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
 def shingle_hashes(hashes: np.ndarray, first: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -129,21 +157,23 @@ def shingle_hashes(hashes: np.ndarray, first: np.ndarray, n: int = 5) -> tuple[n
     a text without words gives none.
     """
     count = np.diff(first)
-    if not len(hashes):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(first), dtype=np.int64)
-    runs = np.where(count >= n, count - n + 1, (count > 0).astype(np.int64))
     at = np.zeros(len(first), dtype=np.int64)
-    np.cumsum(runs, out=at[1:])
-    begin = np.repeat(first[:-1] - at[:-1], runs) + np.arange(at[-1])
-    size = np.repeat(np.minimum(count, n), runs)
+    np.cumsum(np.where(count >= n, count - n + 1, count > 0), out=at[1:])
     out = np.zeros(at[-1], dtype=np.uint64)
-    for k in range(n):
-        # each place has its own multiplier, and a short text takes part with what it has
-        term = hashes[np.minimum(begin + k, len(hashes) - 1)] * np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1)
-        if k:
-            term[size <= k] = 0
-        out = mix(out + term)
-    return mix(out + size.astype(np.uint64)), at
+    for a in range(0, len(out), PART):
+        b = min(a + PART, len(out))
+        t, u = int(np.searchsorted(at, a, side="right")) - 1, int(np.searchsorted(at, b))
+        own = np.repeat(np.arange(t, u), np.minimum(at[t + 1 : u + 1], b) - np.maximum(at[t:u], a))
+        begin, size = np.arange(a, b) + (first[own] - at[own]), np.minimum(count[own], n)
+        part = out[a:b]
+        for k in range(n):
+            # each place has its own multiplier, and a short text takes part with what it has
+            term = hashes[np.minimum(begin + k, len(hashes) - 1)] * np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1)
+            if k:
+                term[size <= k] = 0
+            part = mix(part + term)
+        out[a:b] = mix(part + size.astype(np.uint64))
+    return out, at
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
