@@ -408,7 +408,7 @@ def coded_and_checked(docs: DataFrame, model: str, key: str = "doc_id", text: st
     """Per document: key, ids, n_tokens, and lossless (whether the ids decode to the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text, 4 << 20):
+        for block in blocks(batches, text, 2 << 20):
             ids, ends, _ = encode_block(_keys(block.column(0)), block.column(1), model, dropout, seed)
             made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([block.column(0), made, pa.array(np.diff(ends)), pa.array(_same_texts(_model(model), ids, ends, block.column(1)))], [key, "ids", "n_tokens", "lossless"])

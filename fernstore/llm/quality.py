@@ -4,13 +4,16 @@ Tokens are runs of letters and digits and runs of other visible characters, as w
 bigrams are hashed to ``BUCKETS`` buckets; bigrams that end in a word which is one of the two tokens before share one. Two generative models are smoothed bucket frequencies: the target's over
 labelled documents of quality 1, the raw one's over all documents. A document's log-weight is the sum over its
 n-grams of log target - log raw, and its mean weight the same over their number. Sampling without replacement by weight is a Gumbel top-k:
-each document's key is what ``LENGTH`` n-grams of its mean weight add up to, over ``TEMPERATURE``, plus Gumbel noise drawn by hash from the seed and its id, and
+each document's key is the log-weight of ``LENGTH`` n-grams of its mean weight plus Gumbel noise drawn by hash from the seed and its id, and
 the k largest keys are taken. A key of the plain sum would take short junk before long documents that are a little below the target.
-By default k is the number of documents of a mean weight above that of labelled junk (``cut``); noise then decides near that border only.
-The smoothing follows the target's size and the cut follows the labels, so neither depends on how large the corpus is.
+
+``k`` is a parameter. Its default (``sample_size``) is the expected size of the sample that takes each document with probability
+1 - exp(-weight / s), which is what Gumbel top-k does at the size it gives. The scale s lies, by logarithm, a share of ``TOWARDS_GOOD`` of the
+way from that at which the labelled junk has a chance of ``JUNK_TAKEN`` on average to that at which labelled good documents would miss ``GOOD_MISSED``. So neither the corpus's
+size nor a text's length decides how much is taken, and no document is taken or left for its weight alone.
 
 Bound: the target's counts come from at most ``TARGET_DOCS`` labelled documents, the first by the hash of their ids. The
-raw counts, the weights and k cover all documents, the cut all labelled ones. Bucket counts have a fixed size; the k-th largest key is
+raw counts, the weights and k cover all documents. Bucket counts have a fixed size; the k-th largest key is
 found by histograms that narrow down on it, never by a global sort.
 
 Edge cases: null, blank and empty texts have weight 0 (log 1) and take part; equal keys at the border are all
@@ -29,21 +32,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fernstore.llm.shared import table, written
+from fernstore.llm.shared import forget, table, written
 from fernstore.llm.textblocks import blocks, mix, runs, utf8, word_hashes
 
 BUCKETS = 1 << 14
 TARGET_DOCS = 20_000
-TEMPERATURE = 0.1
+TEMPERATURE = 1.0
 #: N-grams that a document counts as in its key, however long it is.
-LENGTH = 256
-#: Shares of the labelled junk that may lie above the cut, and of the labelled good documents that may lie below it.
-JUNK_ABOVE, GOOD_BELOW = 0.02, 0.01
+LENGTH = 64
+#: Average chances of labelled junk to be taken, and of labelled good documents to be left.
+JUNK_TAKEN, GOOD_MISSED, TOWARDS_GOOD = 0.02, 0.01, 0.1
 #: Pseudo-counts of the target's model per n-gram of the target, spread like the raw model: they keep a small target
 #: from rejecting what it merely hasn't shown.
 SMOOTHING = 1.0
-#: The cut where no junk is labelled, as a share of the least weight that an n-gram can have.
-UNLABELLED_CUT = 0.15
+#: Where no junk is labelled: the mean weight with a chance of 63%, as a share of the least weight that an n-gram can have.
+UNLABELLED_BORDER = 0.15
 SEED = 23
 
 _KINDS = np.full(256, 2, dtype=np.uint8)
@@ -82,7 +85,7 @@ def bucket_counts(docs: DataFrame, text: str = "text", target: str | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), dtype=np.int64)
-        for block in blocks(batches, text, 4 << 20):
+        for block in blocks(batches, text, 1 << 20):
             one, two, first = ngram_buckets(block.column(0), buckets)
             chosen = np.repeat(pa.compute.fill_null(block.column(1), False).to_numpy(zero_copy_only=False), np.diff(first))
             for kind, keep in ((0, slice(None)), (1, chosen)):
@@ -121,7 +124,7 @@ def with_keys(docs: DataFrame, ratios: np.ndarray, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = shared.value
-        for block in blocks(batches, text, 4 << 20):
+        for block in blocks(batches, text, 1 << 20):
             one, two, first = ngram_buckets(block.column(at), len(ratio))
             each = ratio[one]
             each[two >= 0] += ratio[two[two >= 0]]
@@ -164,27 +167,48 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 1024) -> flo
     return low
 
 
-def cut(weights: DataFrame, labels: DataFrame, key: str = "doc_id") -> float:
-    """The least mean weight that isn't rejected: above nearly all labelled junk, but not above many labelled good documents.
+def _taken(weights: np.ndarray, border: float, temperature: float) -> np.ndarray:
+    """The chance of documents of these mean weights where the scale is the weight of mean weight ``border``."""
+    return -np.expm1(-np.exp(np.clip(LENGTH * (weights - border) / temperature, -700, 50)))
 
-    ``weights``: _id and mean_weight of all documents.
-    """
-    marked = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_label")).agg(F.max("quality").alias("_quality"))
-    of = lambda q, share: F.percentile_approx(F.when(F.col("_quality") == q, F.col("mean_weight")), share, 100_000)
-    junk, good = weights.join(marked, F.col("_id") == F.col("_label")).agg(of(0, 1 - JUNK_ABOVE), of(1, GOOD_BELOW)).first()
-    if good is None:
+
+def _border(good: tuple[np.ndarray, np.ndarray], junk: tuple[np.ndarray, np.ndarray], temperature: float) -> float:
+    """The mean weight of the scale, from those of labelled documents: mean weights and how often there are."""
+
+    def least(values: np.ndarray, times: np.ndarray, share: float) -> float:
+        low, high = -10.0, 30.0
+        while high - low > 1e-6:
+            middle = (low + high) / 2
+            low, high = (middle, high) if np.average(_taken(values, middle, temperature), weights=times) > share else (low, middle)
+        return high
+
+    if not len(good[0]):
         return -math.inf
-    least = UNLABELLED_CUT * math.log(SMOOTHING / (1 + SMOOTHING)) if junk is None else math.nextafter(junk, math.inf)
-    return min(least, good, 0.0)
+    floor = UNLABELLED_BORDER * math.log(SMOOTHING / (1 + SMOOTHING))
+    low, high = least(*junk, JUNK_TAKEN) if len(junk[0]) else floor, min(least(*good, 1 - GOOD_MISSED), 0.0)
+    return min(low + TOWARDS_GOOD * (high - low), high)
+
+
+def sample_size(weights: DataFrame, labels: DataFrame, key: str = "doc_id", temperature: float = TEMPERATURE) -> int:
+    """How many documents to sample from ``weights`` (_id and mean_weight of all documents)."""
+    marked = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_label")).agg(F.max("quality").alias("_quality"))
+    # weights to three places: a few thousand rows, since logarithms of ratios of counts are small numbers
+    seen = weights.join(marked, F.col("_id") == F.col("_label")).groupBy("_quality", F.round("mean_weight", 3).alias("w")).count().collect()
+    of = lambda q: tuple(np.array([x[i] for x in seen if x[0] == q], dtype=np.float64) for i in (1, 2))
+    border = _border(of(1), of(0), temperature)
+    if border == -math.inf:
+        return weights.count()
+    chance = -F.expm1(-F.exp(F.least(LENGTH * (F.col("mean_weight") - border) / temperature, F.lit(50.0))))
+    return round(weights.agg(F.sum(chance)).first()[0] or 0)
 
 
 def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, key: str = "doc_id", text: str = "text", temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """``docs`` with log_weight, mean_weight, key, and kept: whether the document is among the k sampled."""
     keyed = with_keys(docs, log_ratios(docs, labels, key, text), key, text, temperature, seed)
     slim = written(keyed.select(F.col(key).alias("_id"), "mean_weight", "key"), "quality_keys")
-    if k is None:
-        k = slim.where(F.col("mean_weight") >= cut(slim, labels, key)).count()
-    return keyed.withColumn("kept", F.col("key") >= kth_largest(slim, "key", k))
+    border = kth_largest(slim, "key", sample_size(slim, labels, key, temperature) if k is None else k)
+    forget(slim)
+    return keyed.withColumn("kept", F.col("key") >= border)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

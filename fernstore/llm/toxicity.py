@@ -241,7 +241,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "tex
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text, 4 << 20):
+        for block in blocks(batches, text, 1 << 20):
             score = np.zeros(block.num_rows) if shared.value is None else shared.value.score(block.column(at))
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
 

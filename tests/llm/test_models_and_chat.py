@@ -104,6 +104,56 @@ def test_gumbel_top_k_takes_k_by_weight(spark):
     assert {r.doc_id for r in again} == {r.doc_id for r in out if r.kept}
 
 
+def test_quality_against_a_recount(spark):
+    """Weights and keys from plain dictionaries of tokens, and a sample that is no threshold on the weight."""
+    import re
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    out = {r.doc_id: r for r in quality.resampled(docs, labels).drop("text").collect()}
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    buckets = {}
+
+    def ngrams(text):
+        tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0D]+", (text or "").encode())
+        found = [(t,) for t in tokens]
+        for i in range(1, len(tokens)):
+            again = tokens[i] in tokens[max(0, i - 2) : i] and re.match(rb"[0-9A-Za-z\x80-\xff]", tokens[i])
+            found.append("again" if again else (tokens[i - 1], tokens[i]))
+        return found
+
+    def bucket(gram):
+        if gram not in buckets:
+            if gram == "again":
+                buckets[gram] = 0
+            else:
+                hashes = [quality.word_hashes(np.frombuffer(t, dtype=np.uint8), np.array([0]), np.array([len(t)])) for t in gram]
+                both = hashes[0] if len(gram) == 1 else quality.mix(hashes[0] * np.uint64(0x9E3779B97F4A7C15) + hashes[1])
+                buckets[gram] = int(both[0] % np.uint64(quality.BUCKETS))
+        return buckets[gram]
+
+    rows = docs.collect()
+    grams = {r.doc_id: Counter(map(bucket, ngrams(r.text))) for r in rows}
+    raw, target = Counter(), Counter()
+    for i, c in grams.items():
+        raw.update(c)
+        if i in good:
+            target.update(c)
+    total, seen = sum(raw.values()) + quality.BUCKETS, sum(target.values())
+    for i, c in grams.items():
+        weight = sum(n * math.log((target[b] + seen * (raw[b] + 1) / total) / (2 * seen) * total / (raw[b] + 1)) for b, n in c.items())
+        assert out[i].log_weight == pytest.approx(weight, abs=1e-4)
+        mean = weight / max(sum(c.values()), 1)
+        assert out[i].mean_weight == pytest.approx(mean, abs=1e-6)
+    noise = [r.key - quality.LENGTH * r.mean_weight for r in out.values()]
+    assert abs(np.mean(noise) - 0.5772) < 0.15 and abs(np.std(noise) - math.pi / math.sqrt(6)) < 0.15
+    kept = sorted((r.mean_weight, r.kept) for r in out.values())
+    assert sum(k for _, k in kept) < len(kept) and [k for _, k in kept] != sorted(k for _, k in kept)  # noise has decided some
+    chance = quality._taken(np.array([0.0, 0.1, -0.1]), 0.0, 1.0)
+    assert chance == pytest.approx([1 - math.exp(-1), 1 - math.exp(-math.exp(6.4)), 1 - math.exp(-math.exp(-6.4))])
+
+
 def test_kth_largest(spark):
     rng = random.Random(1)
     values = [rng.choice([rng.gauss(0, 1), 1e9 * rng.random(), 5.0, -3.0]) for _ in range(500)]
