@@ -1,24 +1,29 @@
-"""Exact top-k search by inner product over an impact-ordered, score-at-a-time index.
+"""Exact top-k search by inner product over an impact-ordered index, score at a time.
 
 Vectors become whole numbers, floor(64 x). A block of up to ``BLOCK`` vectors is an index. Each dimension has two
-posting lists: by value above the block's least for positive query components, by value below its most for
-negative ones. A segment is a run of a list with the same impact, that value rounded up to one of ``LEVELS`` levels.
-Dense vectors stand in every list, so a list is held as a column of impacts by vector, and a stage, all segments
-down to an impact that a given share of the postings reaches, is added for 128 queries at once as a matrix product.
+posting lists, of impacts that are never negative: the value above the block's least, for positive query components, and the value below its
+most, for negative ones. Impacts are rounded up to one of ``LEVELS`` levels; a list is ordered by descending impact, and
+a segment is a run of postings of one impact.
 
-Stages follow by descending impact. After each, a vector's bound is the sum over the dimensions of the query's
-component times its segment's impact, or times the next impact to come where its segment is still to come; no
-vector scores more. The k-th best exact score of the leading vectors bounds what members must reach from below. The search for a query
-stops only when these bounds prove that few vectors can be members, or after the last stage; all possible members
-are rescored exactly, and the k best, ties to the smaller id, are the block's answer. Answers of all blocks are merged per
-query, so the result is exact.
+A query multiplies the impacts of its lists by its components' sizes and processes the segments of all lists by descending
+product: each posting adds it to its vector's accumulator. After a round (``ROUNDS`` says which share of the postings is then done) no
+posting to come adds more than the next segment's product, so a vector's accumulator plus that for every list it hasn't been met in
+bounds its score from above, while the k-th best exact score of the leaders bounds what members must reach from below.
+The query stops only when that proves that at most a small share of the vectors (``RESCORED``) can be members, or after the last segment; all possible
+members are rescored exactly, and the k best, ties to the smaller id, are the block's answer. Answers of all blocks are merged per query, so the
+result is exact.
 
-Scale: queries (a stated set) meet all rows in blocks: a task has one block of vectors and one of queries, and
-returns k rows per query.
+Numbers: sums below 2**50 are exact in floating point. Beyond, bounds get a slack for rounding, and exact scores are computed as
+64-bit or, where these could overflow, as unbounded integers.
+
+Scale: queries (a stated set) meet all rows, which is work in proportion to their product whatever the method. A task builds the index of
+one block and lets the queries stream past it, so that memory doesn't depend on their number; vectors are sent once per
+``QUERY_BLOCK`` queries, and every task returns k rows a query.
 
 Edge cases: vectors that are null, hold a null or a non-finite component, or have no id take no part; vectors of
 another length than the query score over the dimensions both have; vectors without components score 0; rows
-with equal ids all count and are ordered arbitrarily among equal scores; other columns are ignored.
+with equal ids are never each other's candidates, all count as candidates of others, and as queries share one ranking; components and
+scores beyond a long are ranked as such but written as the nearest long; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,76 +36,95 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernstore.llm.shared import table, written
-from fernstore.llm.textblocks import groups
 
 K = 20
 SCALE = 64
 EVERY = 20
-LEVELS = 32
-BLOCK = 1 << 15
-QUERY_BLOCK = 1 << 11
-#: Shares of the postings that the stages reach, and the share of a block that may be rescored after an early stop.
-STAGES, RESCORED = (0.5, 1), 0.02
+LEVELS = 64
+BLOCK = 1 << 14
+QUERY_BLOCK = 1 << 16
+#: Shares of the postings after which a proof is tried, and the share of a block that may be rescored after an early stop.
+ROUNDS, RESCORED = (0.1, 0.25, 0.4, 0.55, 0.7, 0.85, 1), 0.05
+LONG = (1 << 63) - 1
 
 
 class ImpactIndex:
     """Impact-ordered postings of one block. ``vectors``: int64 rows; ``ids``: their ids."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS):
-        self.ids, self.vectors = ids, vectors.astype(np.float64)  # whole numbers far below 2**53
-        self.low, self.high = vectors.min(axis=0), vectors.max(axis=0)
-        step = np.maximum(1, -(-(self.high - self.low) // levels))
-        #: Impacts rounded up to their segment's bound: above the least, then below the most of each dimension.
-        impact = np.concatenate([-(-(vectors - self.low) // step) * step, -(-(self.high - vectors) // step) * step], axis=1)
-        ranked = np.sort(impact, axis=0)
-        n = len(ids)
-        self.stages = []
-        for share in STAGES:
-            # segments from this impact on have been processed; the rest can give no more than it
-            reached = ranked[max(0, n - int(share * n))] if share < 1 else np.zeros_like(ranked[0])
-            self.stages.append(np.maximum(impact, reached).astype(np.float64).T)
-        if float(self.stages[0].max(initial=0)) * max(np.abs(vectors).max(initial=0), 1) * impact.shape[1] < 1 << 23:
-            self.stages = [x.astype(np.float32) for x in self.stages]  # still whole numbers, exactly
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For queries (int64 rows) with the ids ``own``: position of the query, id and score of its k best others."""
-        n = len(self.ids)
-        exact_type = self.stages[0].dtype
-        if np.abs(queries).max(initial=0) * float(self.stages[0].max(initial=0)) * 2 * queries.shape[1] >= 1 << 23:
-            exact_type = np.dtype(np.float64)
-        weight = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1).astype(exact_type)
-        base = np.maximum(queries, 0) @ self.low - np.maximum(-queries, 0) @ self.high
-        best = np.full(len(queries), -np.inf)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for begin in range(0, len(queries), 128):
-            open_ = np.arange(begin, min(begin + 128, len(queries)))
-            for stage in self.stages:
-                bounds = weight[open_] @ stage.astype(exact_type, copy=False)
-                left = []
-                for r, row in zip(open_.tolist(), bounds, strict=True):
-                    q = queries[r].astype(np.float64)
-                    if n > 4 * k:
-                        # the leaders' exact scores raise the bound that members must reach
-                        lead = np.argpartition(row, n - 2 * k)[n - 2 * k :]
-                        exact = self.vectors[lead] @ q
-                        exact = exact[self.ids[lead] != own[r]]
-                        if len(exact) >= k:
-                            best[r] = max(best[r], np.partition(exact, len(exact) - k)[len(exact) - k])
-                    possible = np.flatnonzero(row >= best[r] - base[r])
-                    if len(possible) > max(4 * k, RESCORED * n) and stage is not self.stages[-1]:
-                        left.append(r)
-                        continue
-                    possible = possible[self.ids[possible] != own[r]]
-                    exact = self.vectors[possible] @ q
-                    if len(exact) > k:
-                        limit = np.partition(exact, len(exact) - k)[len(exact) - k]
-                        possible, exact = possible[exact >= limit], exact[exact >= limit]
-                    rank = np.lexsort((self.ids[possible], -exact))[:k]
-                    out.append((np.full(len(rank), r), self.ids[possible[rank]], exact[rank].astype(np.int64)))
-                open_ = np.array(left, dtype=np.int64)
-                if not left:
-                    break
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, dtype=np.int64),) * 3
+        self.ids, self.vectors = ids, vectors
+        self.largest = max((abs(int(f(vectors))) for f in (np.min, np.max)), default=0) if vectors.size else 0
+        self.numbers = vectors.astype(np.float64)
+        n, dims = vectors.shape
+        self.low, self.high = self.numbers.min(axis=0, initial=np.inf), self.numbers.max(axis=0, initial=-np.inf)
+        step = np.maximum(1, np.ceil((self.high - self.low) / levels))
+        level = np.ceil(np.concatenate([self.numbers - self.low, self.high - self.numbers], axis=1) / np.tile(step, 2)).astype(np.int16)
+        #: By list (all dimensions upwards, then all downwards): its vectors by descending impact, and the number of them down to each level.
+        self.rows = np.argsort(-level, axis=0, kind="stable").astype(np.int32).T.copy()
+        self.upto = np.stack([np.bincount(x, minlength=levels + 1)[::-1].cumsum() for x in level.T]) if dims else np.zeros((0, levels + 1), dtype=np.int64)
+        #: By list and segment, its impact.
+        self.impact = np.arange(levels, -1, -1)[None] * np.tile(step, 2)[:, None]
+        self.step, self.levels = np.tile(step, 2), np.take_along_axis(level.T, self.rows, axis=1)
+        self.postings = self.processed = self.queries = self.stopped = 0
+
+    def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """The exact inner products of the query with these vectors; Python's integers where a long could overflow."""
+        most = self.largest * max(abs(int(query.min(initial=0))), abs(int(query.max(initial=0)))) * len(query)
+        if most < 1 << 53:
+            return (self.numbers[rows] @ query.astype(np.float64)).astype(np.int64)
+        if most <= LONG:
+            return self.vectors[rows] @ query
+        return self.vectors[rows].astype(object) @ query.astype(object)
+
+    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and scores of the k best vectors for a query (int64) but those with the id ``own``, best first."""
+        n, dims = self.vectors.shape
+        some = np.flatnonzero(query)
+        weight = np.abs(query[some].astype(np.float64))
+        lists = np.where(query[some] > 0, some, dims + some)
+        base = float(np.where(query[some] > 0, weight * self.low[some], -weight * self.high[some]).sum())
+        gain = self.impact[lists] * weight[:, None]
+        sizes = np.diff(self.upto[lists], axis=1, prepend=0)
+        whole = float((weight * np.maximum(np.abs(self.low), np.abs(self.high))[some]).sum())
+        slack = 0.0 if whole < 1 << 48 else whole * (len(some) + 8) * 2.0**-49
+        by_gain = np.argsort(-gain, axis=None, kind="stable")
+        done_by = sizes.ravel()[by_gain].cumsum()
+        total = n * len(some)
+        found, met = np.zeros(n), np.zeros(n, dtype=np.int16)
+        at = np.zeros(len(some), dtype=np.int64)
+        best = -np.inf
+        self.queries += 1
+        self.postings += total
+        for share in ROUNDS:
+            last = int(np.searchsorted(done_by, share * total)) if share < 1 else len(by_gain) - 1
+            # whole segments down to this product, in every list
+            down_to = gain.ravel()[by_gain[min(last, len(by_gain) - 1)]] if total else 0.0
+            until = np.where(gain >= down_to, sizes, 0).sum(axis=1) if share < 1 else np.full(len(some), n)
+            for i in np.flatnonzero(until > at).tolist():
+                rows = self.rows[lists[i], at[i] : until[i]]
+                found[rows] += self.levels[lists[i], at[i] : until[i]] * (self.step[lists[i]] * weight[i])
+                met[rows] += 1
+            self.processed += int((until - at).sum())
+            at = until
+            rest = gain[(gain < down_to) & (sizes > 0)].max(initial=0.0) if share < 1 else 0.0
+            bound = found + (len(some) - met) * rest + (base + slack)
+            if n > 4 * k:
+                # the leaders' exact scores raise what members must reach
+                lead = np.argpartition(bound, n - 2 * k)[n - 2 * k :]
+                exact = self.scores(lead[self.ids[lead] != own], query)
+                if len(exact) >= k:
+                    best = max(best, float(np.sort(exact)[len(exact) - k]))
+            possible = np.flatnonzero(bound >= best - slack)
+            if share == 1 or len(possible) <= max(4 * k, RESCORED * n):
+                self.stopped += share < 1
+                break
+        possible = possible[self.ids[possible] != own]
+        exact = self.scores(possible, query)
+        if len(exact) > k:
+            limit = np.sort(exact)[len(exact) - k]
+            possible, exact = possible[exact >= limit], exact[exact >= limit]
+        rank = np.lexsort((self.ids[possible], -exact))[:k] if exact.dtype != object else np.array(sorted(range(len(exact)), key=lambda i: (-exact[i], self.ids[possible[i]]))[:k], dtype=np.int64)
+        return self.ids[possible[rank]], exact[rank]
 
 
 def quantised(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -111,13 +135,56 @@ def quantised(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding"
     return vectors.where(sound).select(F.col(key).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale)).alias("v"))
 
 
-def _matrix(part: pa.Table) -> np.ndarray:
-    """The rows' vectors, padded with zeros to the longest."""
+def _matrix(part: pa.Table, dims: int) -> np.ndarray:
+    """The rows' vectors, padded with zeros, or cut, to ``dims`` components."""
     rows = part.column("v").combine_chunks()
     size = np.diff(rows.offsets.to_numpy())
-    out = np.zeros((len(rows), int(size.max(initial=0))), dtype=np.int64)
+    out = np.zeros((len(rows), max(dims, int(size.max(initial=0)))), dtype=np.int64)
     out[np.arange(out.shape[1])[None] < size[:, None]] = rows.flatten().to_numpy(zero_copy_only=False)
-    return out
+    return out[:, :dims]
+
+
+def _searches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[ImpactIndex, pa.Table]]:
+    """For each block, whose vectors come first, its index and its queries, some at a time."""
+    held: list[pa.Table] = []
+    index, key = None, None
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        keys = part.column("block").to_numpy().astype(np.int64) << 32 | part.column("query_block").to_numpy()
+        asks = part.column("query").to_numpy().astype(bool)
+        edges = [0, *(np.flatnonzero((np.diff(keys) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1).tolist(), len(keys)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a == b:
+                continue
+            if keys[a] != key:
+                held, index, key = [], None, keys[a]
+            if not asks[a]:
+                held.append(part.slice(a, b - a))
+            elif held:
+                if index is None:
+                    own = pa.concat_tables(held)
+                    index = ImpactIndex(own.column("vec_id").to_numpy(), _matrix(own, max(pa.compute.max(pa.compute.list_value_length(own.column("v"))).as_py(), 0)))
+                    held = [own.slice(0, 0)]
+                yield index, part.slice(a, b - a)
+
+
+def _meetings(vectors: DataFrame, is_query) -> DataFrame:
+    """Every block of vectors followed by its queries, block by block."""
+    rows, queries = vectors.count(), vectors.where(is_query).count()
+    n_blocks = max(1, -(-rows // BLOCK))
+    # blocks of queries beyond those that their number needs only serve to occupy the cluster
+    n_query_blocks = max(1, -(-queries // QUERY_BLOCK), min(-(-vectors.sparkSession.sparkContext.defaultParallelism // n_blocks), -(-queries // 64)))
+    h = F.xxhash64("vec_id", "v")
+    block, query_block = F.pmod(h, F.lit(n_blocks)).cast("int"), F.pmod(h, F.lit(n_query_blocks)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = vectors.select(block.alias("block"), each(n_query_blocks).alias("query_block"), F.lit(False).alias("query"), "vec_id", "v")
+    asked = vectors.where(is_query).select(each(n_blocks).alias("block"), query_block.alias("query_block"), F.lit(True).alias("query"), "vec_id", "v")
+    return held.unionByName(asked).repartition("block", "query_block").sortWithinPartitions("block", "query_block", "query")
+
+
+def _asked(index: ImpactIndex, queries: pa.Table, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    rows = _matrix(queries, index.vectors.shape[1])
+    return [(own, *index.search(q, own, k)) for q, own in zip(rows, queries.column("vec_id").to_numpy().tolist(), strict=True)]
 
 
 def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
@@ -126,36 +193,35 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     Returns query_id, rank (from 1), vec_id, score.
     """
     vectors = written(vectors, "vectors")
-    rows = vectors.count()
-    n_blocks, n_query_blocks = max(1, -(-rows // BLOCK)), max(1, -(-vectors.where(is_query).count() // QUERY_BLOCK))
-    h = F.xxhash64("vec_id", "v")
-    block, query_block = F.pmod(h, F.lit(n_blocks)).cast("int"), F.pmod(h, F.lit(n_query_blocks)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = vectors.select(block.alias("block"), each(n_query_blocks).alias("query_block"), F.lit(False).alias("query"), "vec_id", "v")
-    asked = vectors.where(is_query).select(each(n_blocks).alias("block"), query_block.alias("query_block"), F.lit(True).alias("query"), "vec_id", "v")
-
-    def answers(part: pa.Table) -> pa.Table:
-        asks = part.column("query").combine_chunks()
-        queries, own = part.filter(asks), part.filter(pa.compute.invert(asks))
-        out: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] * 3]
-        if queries.num_rows and own.num_rows:
-            own = own.sort_by("vec_id")
-            q, v = _matrix(queries), _matrix(own)
-            dims = max(q.shape[1], v.shape[1])
-            q, v = (np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in (q, v))
-            index = ImpactIndex(own.column("vec_id").to_numpy(), v)
-            asked_by = queries.column("vec_id").to_numpy()
-            at, ids, scores = index.search(q, asked_by, k)
-            out.append([asked_by[at], ids, scores])
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in groups(batches, ["block", "query_block"]):
-            yield from answers(part).to_batches()
-
-    met = held.unionByName(asked).repartition("block", "query_block").sortWithinPartitions("block", "query_block").mapInArrow(run, "query_id long, vec_id long, score long")
+        for index, queries in _searches(batches):
+            for a in range(0, queries.num_rows, 1024):
+                found = _asked(index, queries.slice(a, 1024), k)
+                ids = np.concatenate([i for _, i, _ in found])
+                # as decimals, so that what is beyond a long keeps its rank
+                scores = [int(x) for _, _, s in found for x in s]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([o for o, *_ in found], [len(i) for _, i, _ in found]).astype(np.int64)), pa.array(ids), pa.array(scores, pa.decimal128(38, 0))], ["query_id", "vec_id", "score"])
+
+    met = _meetings(vectors, is_query).mapInArrow(run, "query_id long, vec_id long, score decimal(38,0)")
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    score = F.greatest(F.lit(-LONG - 1).cast("decimal(38,0)"), F.least(F.lit(LONG).cast("decimal(38,0)"), F.col("score"))).cast("long")
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
+
+
+def search_work(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
+    """What a search costs: queries (per block), those stopped early, their postings, and those processed."""
+    names = ["queries", "stopped", "postings", "processed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, ImpactIndex] = {}
+        for index, queries in _searches(batches):
+            seen[id(index)] = index
+            _asked(index, queries, k)
+        yield pa.RecordBatch.from_arrays([pa.array([sum(getattr(i, n) for i in seen.values())], pa.int64()) for n in names], names)
+
+    work = _meetings(vectors, is_query).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return work.agg(*(F.sum(n).alias(n) for n in names))
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

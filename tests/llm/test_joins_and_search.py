@@ -134,14 +134,49 @@ def test_top_k_against_brute_force(spark, tmp_path, monkeypatch):
     assert topk_search.op3_topk_search(spark, corpus.saved(spark, spark.createDataFrame([], VECTORS), tmp_path, "embeddings")).count() == 0
 
 
+def brute_rows(v, q, own, k):
+    scores = sorted((-sum(int(a) * int(b) for a, b in zip(x, q, strict=True)), i) for i, x in enumerate(v) if i != own)
+    return [i for _, i in scores[:k]], [-s for s, _ in scores[:k]]
+
+
+@pytest.mark.parametrize("scale", [1, 3, 1e5, 2e6, 1e8, 4e17])
+def test_index_is_exact_at_every_scale(scale):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(1, 16)) * scale * 20
+    spread = rng.normal(size=(600, 16)) * (scale * 20 if scale < 1e5 else 3)  # near ties at the larger scales
+    v = np.clip(np.floor(np.where(np.arange(600)[:, None] % 2, base, 0) + spread), -(2.0**62), 2.0**62).astype(np.int64)
+    v[1::2] += rng.integers(-2, 3, (300, 16))
+    index = topk_search.ImpactIndex(np.arange(600), v)
+    for q in (0, 1, 2, 3, 501):
+        ids, scores = index.search(v[q], q, 10)
+        want = brute_rows(v, v[q], q, 10)
+        assert (ids.tolist(), [int(x) for x in scores]) == want
+
+
 def test_index_stops_early_only_on_proof():
     rng = np.random.default_rng(8)
-    for scale in (1, 5):
-        v = np.floor(rng.normal(size=(3000, 16)) ** scale * 20).astype(np.int64)
-        index = topk_search.ImpactIndex(np.arange(3000), v)
-        at, ids, scores = index.search(v[:50], np.arange(50), 10)
-        for q in range(50):
-            s = v @ v[q]
-            s[q] = s.min() - 1
-            order = np.lexsort((np.arange(3000), -s))[:10]
-            assert ids[at == q].tolist() == order.tolist() and scores[at == q].tolist() == s[order].tolist()
+    centres = rng.normal(size=(40, 16)) * 100
+    v = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 5).astype(np.int64)
+    index = topk_search.ImpactIndex(np.arange(4000), v)
+    for q in range(60):
+        ids, scores = index.search(v[q], q, 10)
+        s = v @ v[q]
+        s[q] = s.min() - 1
+        order = np.lexsort((np.arange(4000), -s))[:10]
+        assert ids.tolist() == order.tolist() and scores.tolist() == s[order].tolist()
+    assert index.queries == 60 and index.stopped > 20 and index.processed < 0.9 * index.postings
+    # a query without components, and one that no dimension tells apart
+    assert topk_search.ImpactIndex(np.arange(5), np.zeros((5, 0), dtype=np.int64)).search(np.zeros(0, dtype=np.int64), 2, 3)[0].tolist() == [0, 1, 3]
+    assert topk_search.ImpactIndex(np.arange(5), np.ones((5, 2), dtype=np.int64)).search(np.zeros(2, dtype=np.int64), 0, 3)[1].tolist() == [0, 0, 0]
+
+
+def test_repeated_ids_share_one_ranking(spark):
+    v = [(0, [3, 1]), (0, [-1, 4]), (1, [2, 2]), (2, [5, 0]), (2, [5, 0]), (3, [1 << 40, 1 << 40]), (20, [1 << 60, 1 << 60])]
+    df = spark.createDataFrame(v, "vec_id long, v array<long>")
+    got = [tuple(r) for r in topk_search.top_k(df, F.col("vec_id") == 0, 4).orderBy("rank").collect()]
+    pairs = sorted((-(a * x + b * y), i) for q, (a, b) in v if q == 0 for i, (x, y) in v if i != 0)[:4]
+    assert got == [(0, r, i, -s) for r, (s, i) in enumerate(pairs, 1)]
+    beyond = topk_search.top_k(df, F.col("vec_id") == 20, 3).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in beyond] == [(3, topk_search.LONG), (2, 5 << 60), (2, 5 << 60)]
+    work = topk_search.search_work(df, F.col("vec_id") == 0, 4).first()
+    assert work.queries == 2 and work.processed <= work.postings == 2 * 7 * 2
