@@ -2,14 +2,15 @@
 
 Vectors become whole numbers, floor(64 x). A block of up to ``BLOCK`` vectors is an index. Each dimension has two
 posting lists, of impacts that are never negative: the value above the block's least, for positive query components, and the value below its
-most, for negative ones. Impacts are rounded up to one of ``LEVELS`` levels; a list is ordered by descending impact, and
-a segment is a run of postings of one impact.
-
-A query multiplies the impacts of its lists by its components' sizes and processes the segments of all lists by descending
-product: each posting adds it to its vector's accumulator. After a round (``ROUNDS`` says which share of the postings is then done) no
-posting to come adds more than the next segment's product, so a vector's accumulator plus that for every list it hasn't been met in
-bounds its score from above, while the k-th best exact score of the leaders bounds what members must reach from below.
-The query stops only when that proves that at most a small share of the vectors (``RESCORED``) can be members, or after the last segment; all possible
+most, for negative ones. Impacts are rounded up to whole steps, at most ``LEVELS``, of one size for all lists; a segment is the postings of one list
+and impact.
+
+Segments are processed by descending impact, those of all lists in turn, in rounds that reach the shares ``ROUNDS`` of all postings. A vector's
+accumulator holds what is known of its score: the sum, over the lists of the query, of the query's component times the impact of
+the vector's posting, or, while that is still to come, times the next impact to come. So it bounds the score from above, and a round's segments
+only ever lower it. Dense vectors stand in every list, so a round's segments are held as a matrix of what they change, and are added
+to the accumulators of ``TOGETHER`` queries at once as a product. The k-th best exact score of the leaders bounds what members must reach from below.
+A query stops only when that proves that at most a small share of the vectors (``RESCORED``) can be members, or after the last segment; all possible
 members are rescored exactly, and the k best, ties to the smaller id, are the block's answer. Answers of all blocks are merged per query, so the
 result is exact.
 
@@ -40,11 +41,12 @@ from fernstore.llm.shared import table, written
 K = 20
 SCALE = 64
 EVERY = 20
-LEVELS = 64
+LEVELS = 120
 BLOCK = 1 << 14
 QUERY_BLOCK = 1 << 16
+TOGETHER = 128
 #: Shares of the postings after which a proof is tried, and the share of a block that may be rescored after an early stop.
-ROUNDS, RESCORED = (0.1, 0.25, 0.4, 0.55, 0.7, 0.85, 1), 0.05
+ROUNDS, RESCORED = (0.3, 0.5, 0.65, 0.8, 0.9, 1), 0.05
 LONG = (1 << 63) - 1
 
 
@@ -55,16 +57,21 @@ class ImpactIndex:
         self.ids, self.vectors = ids, vectors
         self.largest = max((abs(int(f(vectors))) for f in (np.min, np.max)), default=0) if vectors.size else 0
         self.numbers = vectors.astype(np.float64)
-        n, dims = vectors.shape
         self.low, self.high = self.numbers.min(axis=0, initial=np.inf), self.numbers.max(axis=0, initial=-np.inf)
-        step = np.maximum(1, np.ceil((self.high - self.low) / levels))
-        level = np.ceil(np.concatenate([self.numbers - self.low, self.high - self.numbers], axis=1) / np.tile(step, 2)).astype(np.int16)
-        #: By list (all dimensions upwards, then all downwards): its vectors by descending impact, and the number of them down to each level.
-        self.rows = np.argsort(-level, axis=0, kind="stable").astype(np.int32).T.copy()
-        self.upto = np.stack([np.bincount(x, minlength=levels + 1)[::-1].cumsum() for x in level.T]) if dims else np.zeros((0, levels + 1), dtype=np.int64)
-        #: By list and segment, its impact.
-        self.impact = np.arange(levels, -1, -1)[None] * np.tile(step, 2)[:, None]
-        self.step, self.levels = np.tile(step, 2), np.take_along_axis(level.T, self.rows, axis=1)
+        self.step = max(1.0, float(np.ceil((self.high - self.low).max(initial=0) / levels)))
+        # by list (all dimensions upwards, then all downwards) and vector: the impact in steps
+        impact = np.ceil(np.concatenate([self.numbers - self.low, self.high - self.numbers], axis=1) / self.step).astype(np.int16).T
+        sizes = np.bincount(impact.ravel(), minlength=levels + 1)
+        upto = sizes[::-1].cumsum()[::-1]  # postings of this impact or more
+        self.next = levels
+        #: By round: the impacts from this one on are done after it, the postings done by list, and what it changes.
+        self.rounds: list[tuple[np.ndarray, np.ndarray]] = []
+        before = self.next
+        for share in ROUNDS:
+            after = max(0, int(np.flatnonzero(upto >= share * upto[0])[-1]) - 1) if share < 1 else 0
+            if after < before:
+                self.rounds.append(((impact > after).sum(axis=1) if share < 1 else np.full(len(impact), len(ids)), (np.maximum(impact, after) - np.maximum(impact, before)).astype(np.float32)))
+                before = after
         self.postings = self.processed = self.queries = self.stopped = 0
 
     def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -76,55 +83,56 @@ class ImpactIndex:
             return self.vectors[rows] @ query
         return self.vectors[rows].astype(object) @ query.astype(object)
 
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and scores of the k best vectors for a query (int64) but those with the id ``own``, best first."""
-        n, dims = self.vectors.shape
-        some = np.flatnonzero(query)
-        weight = np.abs(query[some].astype(np.float64))
-        lists = np.where(query[some] > 0, some, dims + some)
-        base = float(np.where(query[some] > 0, weight * self.low[some], -weight * self.high[some]).sum())
-        gain = self.impact[lists] * weight[:, None]
-        sizes = np.diff(self.upto[lists], axis=1, prepend=0)
-        whole = float((weight * np.maximum(np.abs(self.low), np.abs(self.high))[some]).sum())
-        slack = 0.0 if whole < 1 << 48 else whole * (len(some) + 8) * 2.0**-49
-        by_gain = np.argsort(-gain, axis=None, kind="stable")
-        done_by = sizes.ravel()[by_gain].cumsum()
-        total = n * len(some)
-        found, met = np.zeros(n), np.zeros(n, dtype=np.int16)
-        at = np.zeros(len(some), dtype=np.int64)
-        best = -np.inf
-        self.queries += 1
-        self.postings += total
-        for share in ROUNDS:
-            last = int(np.searchsorted(done_by, share * total)) if share < 1 else len(by_gain) - 1
-            # whole segments down to this product, in every list
-            down_to = gain.ravel()[by_gain[min(last, len(by_gain) - 1)]] if total else 0.0
-            until = np.where(gain >= down_to, sizes, 0).sum(axis=1) if share < 1 else np.full(len(some), n)
-            for i in np.flatnonzero(until > at).tolist():
-                rows = self.rows[lists[i], at[i] : until[i]]
-                found[rows] += self.levels[lists[i], at[i] : until[i]] * (self.step[lists[i]] * weight[i])
-                met[rows] += 1
-            self.processed += int((until - at).sum())
-            at = until
-            rest = gain[(gain < down_to) & (sizes > 0)].max(initial=0.0) if share < 1 else 0.0
-            bound = found + (len(some) - met) * rest + (base + slack)
-            if n > 4 * k:
-                # the leaders' exact scores raise what members must reach
-                lead = np.argpartition(bound, n - 2 * k)[n - 2 * k :]
-                exact = self.scores(lead[self.ids[lead] != own], query)
-                if len(exact) >= k:
-                    best = max(best, float(np.sort(exact)[len(exact) - k]))
-            possible = np.flatnonzero(bound >= best - slack)
-            if share == 1 or len(possible) <= max(4 * k, RESCORED * n):
-                self.stopped += share < 1
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (int64): the ids and scores of its k best vectors but those with its id in ``own``, best first."""
+        return [x for a in range(0, len(queries), TOGETHER) for x in self._together(queries[a : a + TOGETHER], own[a : a + TOGETHER], k)]
+
+    def _together(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        n = len(self.ids)
+        numbers = queries.astype(np.float64)
+        weight = np.concatenate([np.maximum(numbers, 0), np.maximum(-numbers, 0)], axis=1)
+        base = np.maximum(numbers, 0) @ np.where(np.isfinite(self.low), self.low, 0) - np.maximum(-numbers, 0) @ np.where(np.isfinite(self.high), self.high, 0)
+        whole = np.abs(numbers) @ np.maximum(np.abs(self.low), np.abs(self.high)) * 2 + self.step * self.next * weight.sum(axis=1)
+        slack = np.where(whole < 1 << 50, 0, whole * (queries.shape[1] + 8) * 2.0**-49)
+        known = weight.sum(axis=1) * self.next
+        kind = np.float32 if known.max(initial=0) < 1 << 24 else np.float64  # whole numbers, exactly, up to this
+        known = np.broadcast_to(known.astype(kind)[:, None], (len(queries), n)).copy()
+        best = np.full(len(queries), -np.inf)
+        out: list = [None] * len(queries)
+        left = np.arange(len(queries))
+        done = np.zeros(len(queries), dtype=np.int64)
+        for r, (reached, change) in enumerate(self.rounds or [(np.zeros(weight.shape[1], dtype=np.int64), np.zeros((weight.shape[1], n), dtype=np.float32))]):
+            known[left] += weight[left].astype(kind) @ change.astype(kind, copy=False)
+            done[left] = (weight[left] > 0) @ reached
+            last = r >= len(self.rounds) - 1
+            for q in left.tolist():
+                bound = known[q]
+                if n > 4 * k:
+                    # the leaders' exact scores raise what members must reach
+                    lead = np.argpartition(bound, n - 2 * k)[n - 2 * k :]
+                    exact = self.scores(lead[self.ids[lead] != own[q]], queries[q])
+                    if len(exact) >= k:
+                        best[q] = max(best[q], float(np.sort(exact)[len(exact) - k]))
+                possible = np.flatnonzero(bound >= (best[q] - base[q] - 2 * slack[q]) / self.step - (1e-6 if kind is np.float64 else 0.5))
+                if last or len(possible) <= max(4 * k, RESCORED * n):
+                    self.stopped += not last
+                    out[q] = self._rescored(possible[self.ids[possible] != own[q]], queries[q], k)
+            left = np.array([q for q in left.tolist() if out[q] is None], dtype=np.int64)
+            if not len(left):
                 break
-        possible = possible[self.ids[possible] != own]
+        self.queries += len(queries)
+        self.postings += n * int((numbers != 0).sum())
+        self.processed += int(done.sum())
+        return out
+
+    def _rescored(self, possible: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         exact = self.scores(possible, query)
         if len(exact) > k:
             limit = np.sort(exact)[len(exact) - k]
             possible, exact = possible[exact >= limit], exact[exact >= limit]
-        rank = np.lexsort((self.ids[possible], -exact))[:k] if exact.dtype != object else np.array(sorted(range(len(exact)), key=lambda i: (-exact[i], self.ids[possible[i]]))[:k], dtype=np.int64)
-        return self.ids[possible[rank]], exact[rank]
+        ids = self.ids[possible]
+        rank = np.lexsort((ids, -exact))[:k] if exact.dtype != object else np.array(sorted(range(len(exact)), key=lambda i: (-exact[i], ids[i]))[:k], dtype=np.int64)
+        return ids[rank], exact[rank]
 
 
 def quantised(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -183,8 +191,8 @@ def _meetings(vectors: DataFrame, is_query) -> DataFrame:
 
 
 def _asked(index: ImpactIndex, queries: pa.Table, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    rows = _matrix(queries, index.vectors.shape[1])
-    return [(own, *index.search(q, own, k)) for q, own in zip(rows, queries.column("vec_id").to_numpy().tolist(), strict=True)]
+    own = queries.column("vec_id").to_numpy()
+    return [(o, *found) for o, found in zip(own.tolist(), index.search(_matrix(queries, index.vectors.shape[1]), own, k), strict=True)]
 
 
 def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:

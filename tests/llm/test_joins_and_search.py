@@ -148,7 +148,7 @@ def test_index_is_exact_at_every_scale(scale):
     v[1::2] += rng.integers(-2, 3, (300, 16))
     index = topk_search.ImpactIndex(np.arange(600), v)
     for q in (0, 1, 2, 3, 501):
-        ids, scores = index.search(v[q], q, 10)
+        ((ids, scores),) = index.search(v[q : q + 1], np.array([q]), 10)
         want = brute_rows(v, v[q], q, 10)
         assert (ids.tolist(), [int(x) for x in scores]) == want
 
@@ -158,16 +158,15 @@ def test_index_stops_early_only_on_proof():
     centres = rng.normal(size=(40, 16)) * 100
     v = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 5).astype(np.int64)
     index = topk_search.ImpactIndex(np.arange(4000), v)
-    for q in range(60):
-        ids, scores = index.search(v[q], q, 10)
+    for q, (ids, scores) in enumerate(index.search(v[:60], np.arange(60), 10)):
         s = v @ v[q]
         s[q] = s.min() - 1
         order = np.lexsort((np.arange(4000), -s))[:10]
         assert ids.tolist() == order.tolist() and scores.tolist() == s[order].tolist()
     assert index.queries == 60 and index.stopped > 20 and index.processed < 0.9 * index.postings
-    # a query without components, and one that no dimension tells apart
-    assert topk_search.ImpactIndex(np.arange(5), np.zeros((5, 0), dtype=np.int64)).search(np.zeros(0, dtype=np.int64), 2, 3)[0].tolist() == [0, 1, 3]
-    assert topk_search.ImpactIndex(np.arange(5), np.ones((5, 2), dtype=np.int64)).search(np.zeros(2, dtype=np.int64), 0, 3)[1].tolist() == [0, 0, 0]
+    # queries without components, and vectors that no dimension tells apart
+    assert topk_search.ImpactIndex(np.arange(5), np.zeros((5, 0), dtype=np.int64)).search(np.zeros((1, 0), dtype=np.int64), np.array([2]), 3)[0][0].tolist() == [0, 1, 3]
+    assert topk_search.ImpactIndex(np.arange(5), np.ones((5, 2), dtype=np.int64)).search(np.zeros((1, 2), dtype=np.int64), np.array([0]), 3)[0][1].tolist() == [0, 0, 0]
 
 
 def test_repeated_ids_share_one_ranking(spark):
