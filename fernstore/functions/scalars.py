@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fernstore.functions.schema import json_field
 
-__all__ = ["as_array", "checksum", "decrypted", "encrypted", "incremented", "json_array_contains", "json_field", "merged", "sanitized", "to_boolean", "to_number", "to_timestamp"]
+__all__ = ["as_array", "checksum", "decrypted", "derived_key", "encrypted", "incremented", "json_array_contains", "json_field", "merged", "sanitized", "to_boolean", "to_number", "to_timestamp"]
 
 
 def merged(base: Column, patch: Column) -> Column:
@@ -36,8 +37,13 @@ def checksum(value: Column) -> Column:
     return F.crc32(value)
 
 
+def derived_key(password: str, salt: bytes, rounds: int = 600_000, size: int = 32) -> bytes:
+    """A key for ``encrypted`` from a password, by PBKDF2 with HMAC-SHA-256; 32 bytes make it AES-256."""
+    return hashlib.pbkdf2_hmac("sha256", password.encode(), salt, rounds, size)
+
+
 def encrypted(value: Column, key: Column, aad: Column) -> Column:
-    """AES-GCM with additional authenticated data."""
+    """AES-GCM, with the strength of the key's size and with additional authenticated data."""
     return F.aes_encrypt(value, key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(""), aad)
 
 

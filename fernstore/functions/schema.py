@@ -120,13 +120,3 @@ def violation(value: Column, schema: StoreSchema) -> Column:
             out.append(F.when(~missing & ~number.between(-(2**31), 2**31 - 1), F.lit(f"{c.name}: out of range of INT32")))
     return F.coalesce(*out)
 
-
-def typed_violation(columns: dict[str, Column], rules: list[tuple[str, str, bool]]) -> Column:
-    """The same for typed columns: (name, least allowed text pattern or '', nullable) rules, first broken rule wins."""
-    out = []
-    for name, pattern, nullable in rules:
-        if not nullable:
-            out.append(F.when(columns[name].isNull(), F.lit(f"{name}: required")))
-        if pattern:
-            out.append(F.when(~F.rlike(columns[name].cast("string"), F.lit(pattern)), F.lit(f"{name}: invalid")))
-    return F.coalesce(*out, F.lit(None).cast("string"))

@@ -738,3 +738,6 @@ def stored_documents(t):
     db.write_frame("orders", t.df("orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), "o_orderkey")
     q = db.store("orders").with_fields("o_orderkey bigint, o_orderstatus string, o_totalprice double").query()
     return q.filter("o_orderstatus").equals("F").filter("o_totalprice").greater_than(100000).to_df().select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+import fernstore.stored_queries  # noqa: E402,F401  registers its queries beside these

@@ -53,11 +53,38 @@ class Files:
             self.fs.delete(target, False)
         return self.fs.rename(temporary, target)
 
-    def create(self, name: str) -> bool:
-        """Create an empty file; False if it is there already."""
+    def create(self, name: str, content: str = "") -> bool:
+        """Create a file; False if it is there already."""
         self.fs.mkdirs(self._path(self.at(name.rpartition("/")[0])))
         try:
-            return self.fs.createNewFile(self._path(self.at(name)))
+            stream = self.fs.create(self._path(self.at(name)), False)
+        except Exception:
+            return False
+        try:
+            stream.write(bytearray(content.encode()))
+        finally:
+            stream.close()
+        return True
+
+    def text(self, name: str) -> str | None:
+        """The content of a small file; None if there is none."""
+        try:
+            stream = self.fs.open(self._path(self.at(name)))
+        except Exception:
+            return None
+        try:
+            return self._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream).decode()
+        finally:
+            stream.close()
+
+    def touch(self, name: str) -> None:
+        import time
+
+        self.fs.setTimes(self._path(self.at(name)), int(time.time() * 1000), -1)
+
+    def move(self, name: str, to: str) -> bool:
+        try:
+            return self.fs.rename(self._path(self.at(name)), self._path(self.at(to)))
         except Exception:
             return False
 

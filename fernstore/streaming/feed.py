@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -20,6 +21,7 @@ from fernstore.operators.versions import changes, newest
 from fernstore.sources.changelog import ROW
 from fernstore.sources.database import Database
 
+PER_CALL = 10_000
 MANIFEST = "txn long, stores array<string>, path string, replaces boolean"
 
 
@@ -67,7 +69,10 @@ def ingest_stream(db: Database, store: str, stream: DataFrame, id_column: str, c
 
 
 def on_snapshot(db: Database, key: str, callback: Callable[[dict[str, Any] | None], None], checkpoint: str, trigger: dict[str, Any] | None = None) -> Callable[[], None]:
-    """Call back with a document after each of its changes (None once it is removed); returns what ends the listening."""
+    """Call back with a document after each of its changes (None once it is removed); returns what ends the listening.
+
+    With a trigger, such as {"processingTime": "1 second"}, it listens until it is ended; without one it delivers what there is.
+    """
     key = paths.check_document(key)
 
     def handle(found: DataFrame, _: int) -> None:
@@ -81,12 +86,12 @@ def on_snapshot(db: Database, key: str, callback: Callable[[dict[str, Any] | Non
 
 
 def on_collection(db: Database, store: str, callback: Callable[[list[dict[str, Any]]], None], checkpoint: str, trigger: dict[str, Any] | None = None) -> Callable[[], None]:
-    """The same for a whole store, with a list of {key, change, doc} per micro-batch."""
+    """The same for a whole store, with lists of at most ``PER_CALL`` {key, change, doc}, in order."""
 
     def handle(found: DataFrame, _: int) -> None:
-        rows = found.orderBy("commit_txn_id", "key").collect()
-        if rows:
-            callback([{"key": r.key, "change": r.change, "doc": None if r.change == "removed" else json.loads(r.value)} for r in rows])
+        rows = found.orderBy("commit_txn_id", "key").toLocalIterator()  # a partition at a time
+        while part := list(islice(rows, PER_CALL)):
+            callback([{"key": r.key, "change": r.change, "doc": None if r.change == "removed" else json.loads(r.value)} for r in part])
 
     query = ChangeFeed(db, paths.check_store(store)).start(handle, checkpoint, trigger)
     if trigger is None:
