@@ -8,7 +8,7 @@ filters None, Sub and Up by the sum of absolute differences; the rows go through
 Decoding tests the signature, every chunk's CRC-32, the header and the zlib checksum, and undoes the five row
 filters with numpy. The feature is a perceptual hash: the image is averaged into 32 x 32 cells (rows or columns
 are repeated where there are fewer), a cosine transform is taken and the 8 x 8 lowest frequencies are compared
-with their median: 64 bits as 16 hexadecimal digits. It depends on the pixels only.
+with their median: 64 bits, as a binary column (``hash``) and as 16 hexadecimal digits (``feature``). It depends on the pixels only.
 
 Edge cases: null and empty texts are one row of zeros; long texts are taller images; equal texts give equal
 bytes; broken stored bytes raise ``ValueError``, a null image gives null facts; other columns of the input pass through ``encode_media``
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fernstore.llm.shared import table, written
+from fernstore.llm.textblocks import blocks
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -150,11 +151,11 @@ def _cells(a: np.ndarray, n: int) -> np.ndarray:
     return np.add.reduceat(a, edges[:-1], axis=0) / np.diff(edges)[:, None]
 
 
-def cosine_hash(pixels: np.ndarray) -> str:
+def cosine_hash(pixels: np.ndarray) -> bytes:
     """64 bits: which of the 8 x 8 lowest frequencies exceed their median, the constant term first."""
     small = _cells(_cells(pixels.astype(np.float64), CELLS).T, CELLS).T
     low = np.round(_BASIS @ small @ _BASIS.T, 6).ravel()
-    return np.packbits(low > np.median(low[1:])).tobytes().hex()
+    return np.packbits(low > np.median(low[1:])).tobytes()
 
 
 def encode_media(docs: DataFrame, text: str = "text", media: str = "media", width: int = WIDTH, level: int = LEVEL) -> DataFrame:
@@ -162,18 +163,17 @@ def encode_media(docs: DataFrame, text: str = "text", media: str = "media", widt
     kept = [c for c in docs.columns if c not in (text, media)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                png = [png_encode((x.as_buffer().to_pybytes() if x.is_valid else b""), width, level) for x in column.slice(at, 512)]
+        for block in blocks(batches, text, 32 << 20):
+            for at in range(0, block.num_rows, 512):
+                part = block.slice(at, 512)
+                png = [png_encode((x.as_buffer().to_pybytes() if x.is_valid else b""), width, level) for x in part.column(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(png, pa.binary())], [*part.schema.names[:-1], media])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(media, T.BinaryType())])
     return docs.select(*(docs[c] for c in kept), docs[text]).mapInArrow(run, schema)
 
 
-FACTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FACTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, hash binary"
 
 
 def media_facts(stored: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
@@ -184,14 +184,14 @@ def media_facts(stored: DataFrame, key: str = "doc_id", media: str = "media") ->
             rows = []
             for x in batch.column(1):
                 if not x.is_valid:
-                    rows.append((None,) * 7)
+                    rows.append((None,) * 8)
                     continue
                 png = x.as_buffer().to_pybytes()
                 pixels, n = png_decode(png)
                 payload = pixels.tobytes()
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(png), hashlib.sha256(png).hexdigest(), cosine_hash(pixels)))
-            columns = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in range(7)]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(png), hashlib.sha256(png).hexdigest(), (low := cosine_hash(pixels)).hex(), low))
+            columns = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in range(8)]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [key, *(f.split()[0] for f in FACTS.split(", "))])
 
     return stored.select(key, media).mapInArrow(run, f"{key} {stored.schema[key].dataType.simpleString()}, {FACTS}")
