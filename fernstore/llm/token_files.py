@@ -31,6 +31,7 @@ from fernstore.llm.shared import shared_path, table, written
 from fernstore.llm.textblocks import blocks, pieces, spans, utf8
 
 END_ID = 2
+PART_BYTES, MOST_PARTS = 128 << 20, 100_000
 ROW_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
 MEMO = 300_000
@@ -175,12 +176,28 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(np.full(block.num_rows, part, dtype=np.int32)), pa.array(at + ends[:-1]), ids], [key, "part", "at", "ids"])
             at += int(ends[-1])
 
-    ordered = docs.select(key, text).repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), text)
+    slim = docs.select(key, text)
+    # a part for each PART_BYTES of the files that are read, where that is more than the session's usual number
+    size = int(slim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = size // PART_BYTES if size < 1 << 55 else 0  # sources of unknown size report the largest number
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_key = F.col(key).asc_nulls_first()
+    ranges = slim.repartitionByRange(min(parts, MOST_PARTS), by_key) if parts > usual else slim.repartitionByRange(by_key)
+    ordered = ranges.sortWithinPartitions(F.col(key).asc_nulls_first(), text)
     coded = ordered.mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, part int, at long, ids array<int>")
-    options = {"compression": "zlib", "orc.bloom.filter.columns": key, "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(ROW_STRIDE), "orc.stripe.size": str(STRIPE_BYTES)}
+    options = {"compression": "zstd", "orc.bloom.filter.columns": key, "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(ROW_STRIDE), "orc.stripe.size": str(STRIPE_BYTES)}
     coded.write.options(**options).orc(path)
 
 
+def read_tokens(spark: SparkSession, path: str, ids: list | DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """Documents of token files: key and ids. A list of ids reaches the scan, where statistics, row indexes and Bloom filters
+    pass over stripes and row groups; a table of them (column ``key``) is joined."""
+    stored = spark.read.orc(path).select(key, "ids")
+    if ids is None:
+        return stored
+    return stored.where(F.col(key).isin(ids)) if isinstance(ids, list) else stored.join(ids.select(key).distinct(), key, "left_semi")
+
+
 def token_facts(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """Per document of token files: its place in the whole sequence, its number of ids and their CRC-32."""
 

@@ -67,6 +67,45 @@ def test_components_against_brute_force(spark, tmp_path, monkeypatch):
     assert sorted(got, key=key) == sorted(brute_components(rows), key=key)
 
 
+def test_components_with_a_hot_passage_and_many_chunks(spark, tmp_path, monkeypatch):
+    """A passage in every document, a large group of near copies that chain, blocks of few rows, chunks of few shingles."""
+    rng = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(i, f"{passage} {' '.join(f'u{rng.randrange(10**6)}' for _ in range(rng.choice([3, 30])))}") for i in range(80)]
+    base = [f"b{i}" for i in range(60)]
+    for i in range(150):
+        if i % 3 == 0:
+            base[rng.randrange(60)] = f"n{i}"  # the group drifts, so that its ends have little in common
+        rows.append((200 + i, " ".join(base)))
+    rows += [(400 + i, " ".join(base[:50]) + f" tail{i}") for i in range(40)]
+    for name, value in (("TASK_TOKENS", 1000), ("TASK_ROWS", 20), ("PIVOTS", 2), ("CHUNK_TOKENS", 500), ("RANGE_TOKENS", 64)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    sf = corpus.saved(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(6), tmp_path)
+    got = [tuple(r) for r in jaccard_join.op9_jaccard_join(spark, sf).collect()]
+    assert sorted(got, key=key) == sorted(brute_components(rows), key=key)
+
+
+def test_shingles_of_a_very_long_text_take_little_memory():
+    """40 MB in one text: the tables of powers stay small, and the hashes are those of the text in pieces."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from fernstore.llm import textblocks
+
+    unit = "".join(f"word{i} " for i in range(200_000))
+    text = unit * (40_000_000 // len(unit)) + "x" * 1_000_000
+    column = pa.array([text, "a b c d e f"], pa.large_string())
+    tracemalloc.start()
+    sets = jaccard_join.shingle_sets(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 14 * len(text) and len(textblocks._POWER) == textblocks.PART + 1
+    assert len(sets[1]) == 2
+    once = jaccard_join.shingle_sets(pa.array([unit * 2 + "x" * 1_000_000], pa.large_string()))[0]
+    assert (once == sets[0]).all()
+
+
 def test_components_of_an_empty_table(spark, tmp_path):
     assert jaccard_join.op9_jaccard_join(spark, corpus.saved(spark, corpus.docs(spark, True), tmp_path)).count() == 0
 

@@ -32,6 +32,45 @@ def test_token_files_against_the_library(spark, tmp_path, path):
     assert got == want
 
 
+def scanned(df):
+    """The rows that the scan of an executed query gave."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = (plan.executedPlan() if "Adaptive" in plan.getClass().getName() else plan).collectLeaves()
+    return int(leaves.apply(0).metrics().apply("numOutputRows").value())
+
+
+def test_token_files_are_read_by_stripe_and_pruned_by_id(spark, tmp_path, monkeypatch):
+    import glob
+
+    from pyarrow import orc
+
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(int(2 * i), " ".join(map(str, rng.integers(0, 10**6, 30)))) for i in range(20000)], "doc_id long, text string")
+    monkeypatch.setattr(token_files, "STRIPE_BYTES", 1 << 17)
+    path = f"{tmp_path}/tokens"
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    token_files.write_token_files(docs.coalesce(1).sortWithinPartitions("doc_id"), path, tokenizer)
+    files = sorted(glob.glob(f"{path}/*.orc"))
+    stripes = 0
+    library = Tokenizer.from_file(tokenizer)
+    for f in files:
+        one = orc.ORCFile(f)
+        assert one.row_index_stride == token_files.ROW_STRIDE and one.compression == "ZSTD"
+        stripes += one.nstripes
+        # any stripe can be read alone
+        last = one.read_stripe(one.nstripes - 1, ["doc_id", "ids"])
+        key, ids = last.column("doc_id")[0].as_py(), last.column("ids")[0].as_py()
+        text = docs.where(F.col("doc_id") == key).first().text
+        assert ids == [*library.encode(text, add_special_tokens=False).ids, 2]
+    assert stripes > len(files)
+    found = token_files.read_tokens(spark, path, [4000, 30000])
+    assert sorted(r.doc_id for r in found.collect()) == [4000, 30000] and scanned(found) <= 2 * token_files.ROW_STRIDE
+    # an id between others' lies within the statistics; only the Bloom filter can tell that it isn't there
+    assert scanned(token_files.read_tokens(spark, path, [4001])) == 0
+    assert token_files.read_tokens(spark, path, spark.createDataFrame([(2,), (2,), (7,)], "doc_id long")).count() == 1
+
+
 def test_token_files_empty(spark, tmp_path):
     assert token_files.op2_token_files(spark, corpus.saved(spark, corpus.docs(spark, True), tmp_path)).count() == 0
 
@@ -56,6 +95,24 @@ def test_merging_takes_the_lowest_rank_first():
     assert token_counts.count_after_merges([0, 1, 0, 1, 2], merges) == 3  # ab a bc
 
 
+def brute_hash(payload):
+    rows = [list(payload[i : i + 64]) for i in range(0, len(payload), 64)]
+
+    def cell(values, i):
+        a, b = i * len(values) // 32, (i + 1) * len(values) // 32
+        return values[min(a, len(values) - 1) : max(b, a + 1)] if len(values) >= 32 else [values[min(a, len(values) - 1)]]
+
+    small = []
+    for i in range(32):
+        band = cell(rows, i)
+        line = [sum(r[x] for r in band) / len(band) for x in range(64)]
+        small.append([sum(cell(line, j)) / len(cell(line, j)) for j in range(32)])
+    cos = [[np.cos(np.pi * u * (2 * x + 1) / 64) for x in range(32)] for u in range(8)]
+    low = [round(sum(cos[u][i] * cos[v][j] * small[i][j] for i in range(32) for j in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = float(np.median(low[1:]))
+    return bytes(sum((low[8 * i + j] > middle) << (7 - j) for j in range(8)) for i in range(8))
+
+
 @pytest.mark.parametrize("path", [None, SF])
 def test_media_facts(spark, tmp_path, path):
     sf = path or corpus.saved(spark, corpus.clashing(corpus.docs(spark)), tmp_path)
@@ -66,10 +123,14 @@ def test_media_facts(spark, tmp_path, path):
         want.append((k is None, k or 0, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:])))
     rows = media_columns.op7_media_columns(spark, sf).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, *r[1:5]) for r in rows) == sorted(want)
-    assert all(len(r.feature) == 16 for r in rows)
+    assert all(len(r.feature) == 16 and bytes(r.hash).hex() == r.feature for r in rows)
     by = {}
     for r in rows:
-        assert by.setdefault(r.payload_sha256, r[5:]) == r[5:]
+        assert by.setdefault(r.payload_sha256, r[5:8]) == r[5:8]
+    # the feature by sums over cells and cosines, one at a time
+    texts = {hashlib.sha256(media_columns.padded((t or "").encode())).hexdigest(): media_columns.padded((t or "").encode()) for _, t in pairs(spark.read.parquet(f"{sf}/documents.parquet"))}
+    for digest in sorted(texts)[:12]:
+        assert by[digest][2] == brute_hash(texts[digest]).hex()
 
 
 def test_png_round_trip_with_every_filter():
