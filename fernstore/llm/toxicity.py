@@ -15,7 +15,7 @@ shown costs it a bounded amount. Near copies of earlier training texts give no c
 A logistic regression, fitted on labelled texts that gave no counts, turns them into a score between 0 and 1.
 
 Bound: the models are fitted in one task on at most ``TRAIN_DOCS`` labelled documents per class, the first by the hash of
-their ids; three of four give counts, one fits the regression. Labels are used for nothing else, and
+their ids (of rows that share an id the least text); three of four give counts, one fits the regression. Labels are used for nothing else, and
 lang, source and doc_id never. Scoring covers every whole text.
 
 Edge cases: null and empty texts, and texts without letters, have difference 0 in all features and get the regression's score for
@@ -218,7 +218,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     # at most 2 x limit rows
     chosen = usable.where("_toxic = 1").orderBy("_h").limit(limit).unionByName(usable.where("_toxic = 0").orderBy("_h").limit(limit))
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_key") == F.col("_id"))
-    rows = rows.select("_h", "_toxic", "_text").repartition(1).sortWithinPartitions("_h", "_toxic", "_text")
+    # one text per id, so that the bound holds however often an id is repeated
+    rows = rows.groupBy("_h", "_toxic").agg(F.min("_text").alias("_text")).repartition(1).sortWithinPartitions("_h", "_toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)

@@ -55,6 +55,58 @@ def test_kneser_ney_sums_to_one():
         assert np.exp(full).sum() == pytest.approx(1, abs=1e-5) and np.exp(lower).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_models_against_a_recount(spark):
+    """Both classes' probabilities from plain dictionaries of words, and a repeated id that trains once."""
+    from collections import Counter, defaultdict
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = {r.doc_id: r for r in docs.join(labels.select("doc_id", "toxic"), "doc_id").where("toxic is not null and text is not null").orderBy("doc_id").collect()}
+    chosen = [r for r in rows.values() if r.toxic][:25] + [r for r in rows.values() if not r.toxic][:25]
+    column = pa.array([r.text for r in chosen], pa.large_string())
+    words, first = toxicity.letter_words(column)
+    flags = np.array([r.toxic == 1 for r in chosen])
+    model = toxicity.fit(column, flags, np.ones(len(chosen), dtype=np.int64), np.ones(len(chosen)))
+    texts = [words[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
+    grams = [[((t[i - 2] if i > 1 else None, t[i - 1] if i else 0), w, i > 0) for i, w in enumerate(t)] for t in texts]
+    seen, kept = set(), []
+    for g in grams:
+        own = {(h, w) for h, w, _ in g}
+        kept.append(not own or len(own & seen) < toxicity.COPIED * len(own))
+        seen |= own
+    cut = lambda n: toxicity.DISCOUNTS[min(n, 3) - 1]
+    every = {(h[1], w) for g, k in zip(grams, kept, strict=True) if k for h, w, _ in g}
+    times = {w: min(n, toxicity.SHARED_CUT) for w, n in Counter(w for _, w in every).items()}
+    shared = {w: n / sum(times.values()) * (1 - 1e-3) + toxicity.UNKNOWN for w, n in times.items()}
+    for toxic, fitted in ((True, model.toxic), (False, model.ordinary)):
+        triples = {(h, w) for g, k, f in zip(grams, kept, flags, strict=True) if k and f == toxic for h, w, _ in g}
+        pairs = Counter((h[1], w) for h, w in triples)
+        second = Counter(w for _, w in pairs)
+        of = defaultdict(list)
+        for (h, _), n in pairs.items():
+            of[h].append(n)
+        rest0 = sum(cut(n) for n in second.values()) / len(pairs)
+
+        def lower(w, second=second, rest0=rest0, total=len(pairs)):
+            own = (second[w] - cut(second[w])) / total if w in second else 0.0
+            return own + rest0 * shared.get(w, toxicity.UNKNOWN)
+
+        probe = [(h[1], w) for g in grams[:10] for h, w, _ in g] + [(1, 2), (grams[0][0][1], 5)]
+        before, word = (np.array(x, dtype=np.uint64) for x in zip(*probe, strict=True))
+        both = toxicity.mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
+        full, low = fitted.log_p(word, before, both, model.shared.get(word, toxicity.UNKNOWN))
+        for (h, w), p, q in zip(probe, full, low, strict=True):
+            assert math.exp(q) == pytest.approx(lower(w), rel=1e-3)
+            total = sum(of[h]) if h in of else 0
+            n = pairs.get((h, w), 0)
+            own = max(n - cut(n), 0) / total if n else 0.0
+            rest = sum(cut(x) for x in of[h]) / total if total else 1.0
+            assert math.exp(p) == pytest.approx(own + rest * lower(w), rel=1e-3)
+    many = docs.unionByName(docs.where("doc_id % 2 = 0")).unionByName(docs.where("doc_id % 2 = 0"))
+    score = lambda d: {r.doc_id: r.score for r in toxicity.with_toxicity(docs, toxicity.train(d, labels)).select("doc_id", "score").collect()}
+    assert score(many) == score(docs)
+
+
 # --- quality
 
 
