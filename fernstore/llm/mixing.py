@@ -6,7 +6,7 @@ among the rest. That is the level L at which the sum of min(3 x size, L x weight
 running sums over the sources in order of size / weight, in whole numbers.
 
 Sampling: each document of a source expects target / size copies, held in units of 2**-24. Within a source the
-documents stand in order of size, then of the first 32 bits of the MD5 of their id; their expected copies are summed up
+documents stand in order of size, then of the first 32 bits of the MD5 of their id (of the text, where there is none, so that such rows stand apart); their expected copies are summed up
 along that order from a random offset that depends on the seed and the source, and a document is taken once for
 every whole number its interval crosses. Copies are thus the expectation rounded up or down, never above
 ``MAX_REPEAT``, and the words taken differ from the target by about the longest document at most.
@@ -74,7 +74,7 @@ def _same(a: str, b: str) -> Column:
 def mix_counts(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
     """Per document: key, size, source_size, target, copies (how often the mix takes it) and taken (words)."""
     spark = docs.sparkSession
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    h = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.col(text), F.lit(""))), 1, 8), 16, 10).cast("long")
     slim = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), h.alias("h"))
     slim = written(slim, "mix_sizes")
     targets = written(source_targets(slim, weights, max_repeat), "mix_targets")

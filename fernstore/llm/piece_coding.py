@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fernstore.llm.shared import table
-from fernstore.llm.textblocks import blocks, mix, pieces, spans, utf8
+from fernstore.llm.textblocks import blocks, mix, pieces, spans, utf8, word_hashes
 
 DROPOUT = 0.1
 SEED = 11
@@ -357,6 +357,13 @@ def encode_block(keys: np.ndarray, column: pa.Array, path: str, dropout: float,
 
 
 def _keys(column: pa.Array) -> np.ndarray:
+    """Numbers of documents: whole numbers as they are, other ids by a hash of their text, null as 0."""
+    if not pa.types.is_integer(column.type):
+        data, offsets = utf8(column.cast(pa.string()))
+        some = np.flatnonzero(np.diff(offsets))
+        out = np.zeros(len(column), dtype=np.uint64)
+        out[some] = word_hashes(data, offsets[:-1][some], offsets[1:][some])
+        return out.view(np.int64)
     return pa.compute.fill_null(column.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
 
 

@@ -1,15 +1,30 @@
-"""Session helpers of the training-data operators: the shared folder and tables written into it."""
+"""Session helpers of the training-data operators: the shared folder and tables written into it.
+
+Everything is written below a folder of the application, so that what results still need can stay until ``clear`` is called
+or the application has ended, and the folders of ended applications can be deleted as a whole.
+"""
 
 from __future__ import annotations
 
+import contextlib
 import getpass
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []  # paths of this process's tables
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process; those of ``local-cluster`` aren't."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -19,20 +34,36 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not is_local(spark):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"file://{os.path.join(tempfile.gettempdir(), f'fernstore-{getpass.getuser()}')}"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call has got."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that were written within it."""
+    start = len(_made)
+    yield
+    for path in _made[start:]:
+        dropped(spark, path)
+    del _made[start:]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has written; no result that isn't collected or saved may be used any more."""
+    dropped(spark, f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}")
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: its lineage ends there.
 
-    Later stages re-read the files if executors are lost. A table costs disk until the folder is cleared.
+    Later stages re-read the files if executors are lost. A table costs disk until ``forget`` or ``clear``.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)

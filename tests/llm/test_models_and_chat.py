@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -158,7 +159,6 @@ def test_gumbel_top_k_takes_k_by_weight(spark):
 
 def test_quality_against_a_recount(spark):
     """Weights and keys from plain dictionaries of tokens, and a sample that is no threshold on the weight."""
-    import re
     from collections import Counter
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
@@ -377,12 +377,43 @@ def test_pipeline_stage_by_stage(spark):
     c = near(spark, b, SF).cache()
     found = jaccard_join.jaccard_components(b).collect()
     assert ids(c) == {r.component_id for r in found} and c.count() == len(ids(c)) and c.columns == docs.columns
+    # the same by comparing all pairs of word sets: one of each group, and those without words
+    sets = {r.doc_id: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))) else set() for r in b.collect()}
+    holders, up = {}, {k: k for k in sets}
+    for k, own in sets.items():
+        for s in own:
+            holders.setdefault(s, []).append(k)
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, own in sets.items():
+        for o in {o for s in own for o in holders[s] if o < k}:
+            both = len(own & sets[o])
+            if 100 * both >= 75 * (len(own) + len(sets[o]) - both):
+                x, y = sorted((top(k), top(o)))
+                up[y] = x
+    assert ids(c) == {k for k, own in sets.items() if not own or top(k) == k}
     d = mix(spark, c, SF).cache()
     counts = {r.doc_id: r.copies for r in mixing.mix_counts(c).collect()}
     got = {r.doc_id: r["count"] for r in d.groupBy("doc_id").count().collect()}
     assert got == {k: n for k, n in counts.items() if n} and d.columns == docs.columns
     e = pieces(spark, d, SF)
     assert e.count() == d.count() and e.where("not lossless").count() == 0
+    # the library decodes the pieces to the documents
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in e.collect():
+        if "\u2581" not in (texts[r.doc_id] or ""):
+            assert library.decode(r.ids) == (texts[r.doc_id] or "")
+
+
+def test_pieces_of_documents_with_text_ids(spark):
+    df = spark.createDataFrame([("a", "some words here"), ("b", "some words here"), (None, None)], "doc_id string, text string")
+    out = piece_coding.coded_and_checked(df, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert all(r.lossless for r in out) and [r.n_tokens > 0 for r in out] == [True, True, False]
 
 
 def test_copies_are_removed_by_row(spark):
