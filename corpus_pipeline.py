@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernstore.llm import jaccard_join, mixing, piece_coding, quality, toxicity
-from fernstore.llm.shared import table, written
+from fernstore.llm.shared import forget, shared_path, table, temporary, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,10 +70,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents."""
+    """All stages over the table documents. What a stage wrote for itself, and its input, is deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"pipeline_{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, path = docs, shared_path(spark, f"pipeline_{k}")
+        with temporary(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        if k:
+            forget(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
