@@ -56,6 +56,8 @@ CHUNK_TOKENS, CHUNK_DOCS, NOBODY = 1 << 20, 1 << 15, 0xFFFF
 RANGE_TOKENS = 1 << 20
 #: Shingles and sets of one block of a large component in step 4, and the members that all its blocks meet.
 TASK_TOKENS, TASK_ROWS, PIVOTS = 1 << 20, 1 << 10, 16
+#: Tasks that a step is dealt to at most; beyond that each has several ranges, chunks or blocks, one after another.
+MOST_TASKS = 1 << 15
 #: Ratio of the set sizes within a cell of step 4.
 CELL = 1.1
 #: Documents whose ids may be sent to every task in step 3; beyond that texts and ids are joined by shuffle.
@@ -206,9 +208,11 @@ def document_facts(docs: DataFrame) -> DataFrame:
             yield from _chunk_rows(pa.concat_arrays(ids), sets, chunk, bits, low)
 
     packed = written(docs.select("doc_id", "text").mapInArrow(run, _FACTS_DDL), "shingles", compression="zstd")
-    met = packed.where("part >= 0").select("part", "chunk", "size", "steps", "owners").repartition("part").sortWithinPartitions("part").mapInArrow(_met_elsewhere, "chunk long, owners binary, steps binary")
+    # about one range or chunk a task, so that no task is handed many of them in one batch
+    parts, chunks = min(1 << part_bits, MOST_TASKS), min(max(8, tokens // CHUNK_TOKENS), MOST_TASKS)
+    met = packed.where("part >= 0").select("part", "chunk", "size", "steps", "owners").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_met_elsewhere, "chunk long, owners binary, steps binary")
     known = packed.where("part < 0").select("chunk", "owners", "steps", "ids", "n", "d1", "d2", "met")
-    rows = known.unionByName(met, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_document_rows, "doc_id long, n long, d1 long, d2 long, met long")
+    rows = known.unionByName(met, allowMissingColumns=True).repartition(chunks, "chunk").sortWithinPartitions("chunk").mapInArrow(_document_rows, "doc_id long, n long, d1 long, d2 long, met long")
     facts = written(rows, "shingle_facts")
     forget(packed)
     return facts
@@ -282,10 +286,10 @@ def _tree_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c[a]), pa.array(c[b])], ["a", "b"])
 
 
-def _joined(tasks: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links of all tasks: comp, i, j, block, c, cluster."""
+def _joined(tasks: DataFrame, sets: DataFrame, tokens: int) -> DataFrame:
+    """The links of all tasks: comp, i, j, block, c, cluster. ``tokens``: of all their members."""
     rows = tasks.join(sets.select("c", "hashes"), "c").select("comp", "i", "j", "block", "c", "cluster", "hashes")
-    return written(rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_tree_links, "a long, b long"), "links")
+    return written(rows.repartition(min(max(8, tokens // TASK_TOKENS), MOST_TASKS), "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_tree_links, "a long, b long"), "links")
 
 
 def _dealt(members: DataFrame) -> DataFrame:
@@ -351,10 +355,11 @@ def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
     members = written(_dealt(members), "candidates")
     for done in (keys, comps):
         forget(done)
-    found = _joined(_first_tasks(members), sets)
+    tokens = members.agg(F.sum("n")).first()[0] or 0
+    found = _joined(_first_tasks(members), sets, tokens)
     later = _later_tasks(members, found)
     if later is not None:
-        found = found.unionByName(_joined(later, sets))
+        found = found.unionByName(_joined(later, sets, 2 * tokens))
     roots = connected_components(found)
     for done in (sets, members, found):
         forget(done)
