@@ -60,6 +60,7 @@ TASK_TOKENS, TASK_ROWS, PIVOTS = 1 << 20, 1 << 10, 16
 MOST_TASKS = 1 << 15
 #: Ratio of the set sizes within a cell of step 4.
 CELL = 1.1
+SALTS = 16
 #: Documents whose ids may be sent to every task in step 3; beyond that texts and ids are joined by shuffle.
 BROADCAST_DOCS = 1_000_000
 
@@ -374,9 +375,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     open_ = classes.where(F.col("met") >= _least_overlap(F.col("n")))
     roots = class_roots(docs, open_)
-    named = classes.join(roots, classes.c == roots.node, "left").select("d1", "d2", F.coalesce("root", "c").alias("root"), F.col("doc_id"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "component_id")
+    named = classes.join(roots, classes.c == roots.node, "left").select("d1", "d2", "c", "root", "doc_id")
+    # the members of a large component find its smallest id under several keys, so that they don't meet in one task
+    least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = named.where("root is not null").withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int")).join(least, ["root", "salt"])
+    named = linked.select("d1", "d2", "component_id").unionByName(named.where("root is null").select("d1", "d2", F.col("doc_id").alias("component_id")))
+    named = named.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "component_id")
     out = facts.join(named, (facts.d1 == named.e1) & (facts.d2 == named.e2) & (facts.n > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
