@@ -60,7 +60,7 @@ TASK_TOKENS, TASK_ROWS, PIVOTS = 1 << 20, 1 << 10, 16
 MOST_TASKS = 1 << 15
 #: Ratio of the set sizes within a cell of step 4.
 CELL = 1.1
-SALTS = 16
+SALTS = 4
 #: Documents whose ids may be sent to every task in step 3; beyond that texts and ids are joined by shuffle.
 BROADCAST_DOCS = 1_000_000
 
