@@ -71,11 +71,11 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def mix_counts(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
-    """Per document: key, size, source_size, target, copies (how often the mix takes it) and taken (words)."""
+def mix_counts(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED, row: Column | None = None) -> DataFrame:
+    """Per document: key, size, source_size, target, copies (how often the mix takes it) and taken (words), and ``row`` of it if given."""
     spark = docs.sparkSession
     h = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.col(text), F.lit(""))), 1, 8), 16, 10).cast("long")
-    slim = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), h.alias("h"))
+    slim = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), h.alias("h"), *([] if row is None else [row.alias("row")]))
     slim = written(slim, "mix_sizes")
     targets = written(source_targets(slim, weights, max_repeat), "mix_targets")
     small = targets.count() <= BROADCAST_SOURCES
@@ -103,17 +103,32 @@ def mix_counts(docs: DataFrame, key: str = "doc_id", source: str = "source", tex
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("")))), 1, 6), 16, 10).cast("long")
     at = (F.col("base") + F.col("rank")) * F.col("each") + offset
     out = ranked.withColumn("each", each).withColumn("copies", F.shiftright(at, 24) - F.shiftright(at - F.col("each"), 24))
-    return out.select(F.col("key").alias(key), "size", "source_size", F.col("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("key").alias(key), "size", "source_size", F.col("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"), *([] if row is None else ["row"]))
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as its document is taken, with the columns of ``docs``.
 
-    Rows find their copies by ``key``; rows that share one (or have none) are all taken as often as the most of them.
+    Rows find their copies by a hash of key, source and text, so that rows with equal keys or without one are documents of
+    their own. Rows equal in all three share their copies out among them: systematically again, within each partition
+    of ``docs`` from an offset of its own, so that many of them don't meet in one task.
     """
-    counts = mix_counts(docs, key, **options).where("copies > 0").groupBy(F.col(key).alias("_mix_key")).agg(F.max("copies").cast("int").alias("_mix_copies"))
-    repeated = docs.join(counts, docs[key].eqNullSafe(F.col("_mix_key"))).withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return repeated.select(*(docs[c] for c in docs.columns))
+    row = F.xxhash64(F.col(key).isNull(), F.col(key), F.col(source).isNull(), F.col(source).cast("string"), F.col(text))
+    counts = mix_counts(docs, key, source, text, row=row, **options).groupBy(F.col("row").alias("_mix_row"))
+    counts = written(counts.agg(F.sum("copies").alias("_mix_copies"), F.count(F.lit(1)).alias("_mix_times")).where("_mix_copies > 0"), "mix_copies")
+    named = docs.withColumns({"_mix_key": row, "_mix_part": F.spark_partition_id()})
+
+    def found(which: str) -> DataFrame:
+        return named.join(counts.where(which), F.col("_mix_key") == F.col("_mix_row"))
+
+    once = found("_mix_times = 1").select(*docs.columns, F.col("_mix_copies").alias("_mix_n"))
+    others = [F.col(f.name) for f in docs.schema if f.name not in (key, source, text) and not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    part = Window.partitionBy("_mix_key", "_mix_part").orderBy(F.xxhash64(*others) if others else F.lit(0))
+    again = found("_mix_times > 1").withColumns({"_mix_at": F.row_number().over(part).cast("decimal(19,0)"), "_mix_offset": F.expr("pmod(xxhash64(_mix_key, _mix_part), _mix_times)")})
+    upto = "(({} * _mix_copies + _mix_offset) div _mix_times)"
+    again = again.select(*docs.columns, F.expr(f"{upto.format('_mix_at')} - {upto.format('(_mix_at - 1)')}").alias("_mix_n"))
+    rows = once.unionByName(again).where("_mix_n > 0").withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int"))))
+    return rows.select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

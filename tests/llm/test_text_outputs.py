@@ -199,6 +199,26 @@ def test_mix_comes_near_its_targets_and_repeats_rows(spark):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def test_mix_takes_rows_that_share_an_id_each_by_itself(spark):
+    rows = [(k, " ".join(["w"] * (5 + k % 7)) + f" {k}", f"src{k % 3}", k) for k in range(300)]
+    # one id in several sources and texts, rows without an id, rows equal in id, source and text
+    rows += [(7, f"other text {k} of this id", f"src{k % 3}", k) for k in range(60)] + [(None, f"no id {k}", "src1", k) for k in range(60)] + [(9, "copies of a row", "src0", k) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    one = docs.coalesce(1)
+    row = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "source", "text")
+    want = {r.row: r.n for r in mixing.mix_counts(one, row=row).groupBy("row").agg(F.sum("copies").alias("n")).collect() if r.n}
+    got = mixing.mixed(one).groupBy(row.alias("row")).count().collect()
+    assert {r.row: r["count"] for r in got} == want
+    # none of the rows that are equal in id, source and text gets more than one copy more than another
+    each = {r.n: r["count"] for r in mixing.mixed(one).where("doc_id = 9 and text = 'copies of a row'").groupBy("n").count().collect()}
+    times = [each.get(k, 0) for k in range(200)]
+    assert max(times) - min(times) <= 1
+    # over several partitions their copies may differ by one for each
+    spread = mixing.mixed(docs.repartition(4)).where("text = 'copies of a row'").count()
+    assert abs(spread - sum(times)) <= 4
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
 def test_words_and_shingles_against_brute_force():
     texts = [t or "" for t in corpus.TEXTS]
     import pyarrow as pa
