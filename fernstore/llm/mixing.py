@@ -34,6 +34,8 @@ CELL_ROWS = 100_000
 SEED = 17
 #: Sources whose statistics are sent to every task; beyond that they are joined by shuffle.
 BROADCAST_SOURCES = 20_000
+#: Hashes of rows that have equals which the mix sends to every task.
+BROADCAST_ROWS = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -112,22 +114,35 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
     Rows find their copies by a hash of key, source and text, so that rows with equal keys or without one are documents of
     their own. Rows equal in all three share their copies out among them: systematically again, within each partition
     of ``docs`` from an offset of its own, so that many of them don't meet in one task.
+
+    No row's text is sent twice: rows that have equals are picked out by a broadcast of their hashes before the others are
+    joined, and those with most of them if there are more than ``BROADCAST_ROWS`` such hashes.
     """
     row = F.xxhash64(F.col(key).isNull(), F.col(key), F.col(source).isNull(), F.col(source).cast("string"), F.col(text))
     counts = mix_counts(docs, key, source, text, row=row, **options).groupBy(F.col("row").alias("_mix_row"))
     counts = written(counts.agg(F.sum("copies").alias("_mix_copies"), F.count(F.lit(1)).alias("_mix_times")).where("_mix_copies > 0"), "mix_copies")
+    times = F.col("_mix_times")
+    repeated, total = counts.where(times > 1).agg(F.count(F.lit(1)), F.sum(times)).first()
+    # at most BROADCAST_ROWS hashes have so many rows each
+    many = 2 if repeated <= BROADCAST_ROWS else total // BROADCAST_ROWS + 1
     named = docs.withColumns({"_mix_key": row, "_mix_part": F.spark_partition_id()})
-
-    def found(which: str) -> DataFrame:
-        return named.join(counts.where(which), F.col("_mix_key") == F.col("_mix_row"))
-
-    once = found("_mix_times = 1").select(*docs.columns, F.col("_mix_copies").alias("_mix_n"))
+    same = F.col("_mix_key") == F.col("_mix_row")
     others = [F.col(f.name) for f in docs.schema if f.name not in (key, source, text) and not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
-    part = Window.partitionBy("_mix_key", "_mix_part").orderBy(F.xxhash64(*others) if others else F.lit(0))
-    again = found("_mix_times > 1").withColumns({"_mix_at": F.row_number().over(part).cast("decimal(19,0)"), "_mix_offset": F.expr("pmod(xxhash64(_mix_key, _mix_part), _mix_times)")})
-    upto = "(({} * _mix_copies + _mix_offset) div _mix_times)"
-    again = again.select(*docs.columns, F.expr(f"{upto.format('_mix_at')} - {upto.format('(_mix_at - 1)')}").alias("_mix_n"))
-    rows = once.unionByName(again).where("_mix_n > 0").withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int"))))
+
+    def shared_out(rows: DataFrame) -> DataFrame:
+        part = Window.partitionBy("_mix_key", "_mix_part").orderBy(F.xxhash64(*others) if others else F.lit(0))
+        rows = rows.withColumns({"_mix_at": F.row_number().over(part).cast("decimal(19,0)"), "_mix_offset": F.expr("pmod(xxhash64(_mix_key, _mix_part), _mix_times)")})
+        upto = "(({} * _mix_copies + _mix_offset) div _mix_times)"
+        return rows.select(*docs.columns, F.expr(f"{upto.format('_mix_at')} - {upto.format('(_mix_at - 1)')}").alias("_mix_n"))
+
+    if not repeated:
+        rows = named.join(counts, same).select(*docs.columns, F.col("_mix_copies").alias("_mix_n"))
+    else:
+        apart = counts.where(times >= many)
+        rest = named.join(F.broadcast(apart.select("_mix_row")), same, "left_anti").join(counts.where(times < many), same)
+        rest = rest.select(*docs.columns, F.col("_mix_copies").alias("_mix_n")) if many == 2 else shared_out(rest)
+        rows = rest.unionByName(shared_out(named.join(F.broadcast(apart), same)))
+    rows = rows.where("_mix_n > 0").withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int"))))
     return rows.select(*docs.columns)
 
 

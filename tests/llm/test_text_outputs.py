@@ -219,6 +219,44 @@ def test_mix_takes_rows_that_share_an_id_each_by_itself(spark):
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_mix_sends_each_text_once(spark, monkeypatch):
+    rows = [(k, f"text {k} of some words", f"src{k % 3}", k) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(3)
+    for k, times in enumerate((2, 2, 3, 30)):
+        rows += [(1000 + k, f"equal rows {k}", "src0", 1000 * k + i) for i in range(times)]
+    repeats = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(3, "n")
+
+    def sent(df):
+        # rows of texts that pass an exchange, without broadcasts
+        plan, n = df._jdf.queryExecution().executedPlan(), 0
+        df._jdf.queryExecution().toRdd().count()
+        nodes = [plan]
+        while nodes:
+            node = nodes.pop()
+            children = node.children()
+            nodes += [children.apply(i) for i in range(children.size())]
+            if node.nodeName() == "Exchange" and "text#" in node.output().toString() and "_mix_key" in node.toString().split("\n")[0]:
+                n += node.metrics().apply("shuffleRecordsWritten").value()
+        return n
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sent(mixing.mixed(docs)) == 300
+        assert sent(mixing.mixed(repeats)) <= len(rows)
+        want = sorted(mixing.mixed(repeats).collect())
+        counts = mixing.mix_counts(repeats)
+        assert abs(len(want) - counts.agg(F.sum("copies")).first()[0]) <= 3 * 4
+        # more rows that have equals than are broadcast: those with most of them stand apart, the others don't
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", 3)
+        few = mixing.mixed(repeats)
+        assert sent(few) <= len(rows) and sorted(few.collect()) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_words_and_shingles_against_brute_force():
     texts = [t or "" for t in corpus.TEXTS]
     import pyarrow as pa
